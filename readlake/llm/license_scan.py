@@ -54,7 +54,7 @@ K, K_BASE = 3, 2
 #: Diagonals at most this far apart merge.
 SLACK = 3
 #: Least share of a template's words in a verified span.
-LEAST = 0.8
+LEAST = 0.85
 #: Bound on the template positions, which are broadcast.
 MOST_GRAMS = 100_000
 

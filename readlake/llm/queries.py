@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlake.llm import chat_format, decontaminate, license_scan, line_dedup, quality_rules
+from readlake.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allot(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), quality_classifier.labels_of(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,5 +39,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op6_quality_rules, op8_decontamination, op9_chat_format, op10_line_dedup)}
-ORACLE = {"op9_chat_format": chat_format.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_chat_format, op10_line_dedup)}
+ORACLE = {"op2_source_mixing": mixing.ORACLE, "op9_chat_format": chat_format.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
