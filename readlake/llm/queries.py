@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlake.llm import chat_format, decontaminate, jaccard, license_scan, line_dedup, mixing, quality_classifier, quality_rules, token_output
+from readlake.llm import chat_format, decontaminate, jaccard, katz, license_scan, line_dedup, mixing, quality_classifier, quality_rules, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.materialise_order(_table(spark, sf_dir, "documents"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -47,5 +51,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_token_output, op5_ngram_jaccard, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_chat_format, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_token_output, op4_katz_backoff, op5_ngram_jaccard, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_chat_format, op10_line_dedup)}
 ORACLE = {"op2_source_mixing": mixing.ORACLE, "op9_chat_format": chat_format.ORACLE, "op10_line_dedup": line_dedup.ORACLE}

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from readlake.llm import bytewise
-from readlake.llm.common import materialize, scratch_path
+from readlake.llm.common import broadcast_if_small, materialize, scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern of that vocabulary.
@@ -181,7 +181,7 @@ def write_shards(documents: DataFrame, out_dir: str, vocabulary: str = VOCABULAR
         close()
         yield made()
 
-    placed = rows.join(F.broadcast(offsets.select("part", "base")), "part").select("doc_id", "n_tokens", "tokens", (F.col("base") + F.col("before")).alias("start"))
+    placed = rows.join(broadcast_if_small(offsets.select("part", "base"), 16), "part").select("doc_id", "n_tokens", "tokens", (F.col("base") + F.col("before")).alias("start"))
     dealt = placed.mapInArrow(cut, "shard int, slot bigint, sequence bigint, at int, doc_id bigint, piece binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "at")
     return dealt.mapInArrow(write, "slot bigint, sequence bigint, shard bigint, byte_offset bigint, n_tokens bigint, doc_ids array<bigint>, sha256 string")
 
