@@ -42,7 +42,7 @@ from readlake.llm import bytewise
 from readlake.llm.common import map_batches, materialize
 
 #: Tokens of a block, about.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Tokens of the corpus for each bucket.
 BUCKET = 2_000_000
 #: Counts up to this are discounted by Good-Turing, larger ones by ABOVE.
