@@ -1,6 +1,6 @@
 """Exact Jaccard join of word shingle sets, filtered under several global token orders.
 
-1. Every text becomes a set of hashed word shingles. Texts with equal sets form a class,
+1. Every text becomes a set of hashed word shingles. Texts with equal multisets form a class,
    and only classes are compared, so exact copies never make pairs.
 2. Prefix filter. If two sets are similar enough they share a token among the first
    ``n - ceil(t n) + 1`` of each, whatever the order of tokens, as long as it is the same for
@@ -12,9 +12,11 @@
    Groups that are not settled get their missing pairs in later rounds: small ones all
    at once, large ones with eight times as many leaders each round, until none is left. So
    no link between different components is missed, and no cap drops a pair.
-4. A candidate must also share a prefix token under every other order; the survivors are
-   verified on the full sets, which come from a second pass over the texts of the
-   candidates only (a Bloom filter of fixed size keeps others out of the shuffle).
+4. Candidates are filtered before verification: by size; by the number of tokens that
+   somewhat longer prefixes under the first order must share; and by sharing a prefix
+   token under every other order. Survivors are verified on the full sets, which come from
+   a second pass over the texts of candidates only (a Bloom filter of fixed size keeps
+   others out of the shuffle).
 
 The result is the component of each document under the links (100 * intersection >=
 ``percent`` * union), which all-pairs verification would give as well.
@@ -52,35 +54,39 @@ U = np.uint64
 _SALTS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5)]
 
 
-def shingle_sets(w: bytewise.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, flat, and the rows' bounds."""
+def shingles(w: bytewise.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of each row, flat in the order of the text, and the rows' bounds."""
     h = w.hashes()
-    g, at = w.grams(h, k)
-    row = w.rows()
-    r = row[at]
+    g, _ = w.grams(h, k)
+    size = np.maximum(w.counts - k + 1, 0)
     short = np.flatnonzero((w.counts > 0) & (w.counts < k))
     if len(short):
-        whole = [bytewise.gram_hash(h, np.array([w.ptr[i]]), int(w.counts[i]))[0] for i in short]
-        g, r = np.concatenate([g, np.array(whole, U)]), np.concatenate([r, short])
-    order = np.lexsort((g, r))
-    g, r = g[order], r[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
-    g, r = g[new], r[new]
-    return g, np.searchsorted(r, np.arange(w.hi - w.lo + 1))
-
-
-def _sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, U)
-        np.cumsum(values, out=sums[1:])
-        return sums[ptr[1:]] - sums[ptr[:-1]]
+        whole = np.array([bytewise.gram_hash(h, np.array([w.ptr[i]]), int(w.counts[i]))[0] for i in short], U)
+        g = np.insert(g, np.cumsum(size)[short], whole)
+        size[short] = 1
+    return g, np.concatenate([[0], np.cumsum(size)])
 
 
 def _classes(g: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's multiset of shingles."""
     n = np.diff(ptr).astype(U)
+    out = []
     with np.errstate(over="ignore"):
-        return tuple(bytewise.mix(_sums(bytewise.mix(g ^ s), ptr) + n * s).view(np.int64) for s in (_SALTS[2], _SALTS[3]))
+        for s in (_SALTS[2], _SALTS[3]):
+            sums = np.zeros(len(g) + 1, U)
+            np.cumsum(bytewise.mix(g ^ s), out=sums[1:])
+            out.append(bytewise.mix(sums[ptr[1:]] - sums[ptr[:-1]] + n * s).view(np.int64))
+    return tuple(out)
+
+
+def core_size(n: int, percent: int) -> int:
+    """Tokens of a prefix, of which similar sets share one."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def more_shared(n: int) -> int:
+    """Similar sets share so many tokens of prefixes that are longer by this less 1."""
+    return max(1, n // 16)
 
 
 class Orders:
@@ -100,19 +106,14 @@ class Orders:
         with np.errstate(over="ignore"):
             return (level << U(58)) | (bytewise.mix(g + _SALTS[which % 2] * U(which + 1)) >> U(6))
 
-    def prefixes(self, g: np.ndarray, ptr: np.ndarray, which: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix tokens of each row, flat, and their bounds."""
-        n = np.diff(ptr)
-        row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((g, self.ranks(g, which), row))
-        size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-        place = np.arange(len(g)) - ptr[:-1][row]
-        return g[order][place < size[row]], np.concatenate([[0], np.cumsum(size)])
+    def prefix(self, g: np.ndarray, which: int, size: int) -> np.ndarray:
+        """The first ``size`` tokens of a set."""
+        return g[np.argsort(self.ranks(g, which), kind="stable")[:size]]
 
 
 def _frequent(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """Tokens that several rows of the batch hold."""
-    parts = [shingle_sets(w, k)[0] for w in bytewise.scan(batch.column("text"))]
+    """Tokens that stand more than once in the batch."""
+    parts = [shingles(w, k)[0] for w in bytewise.scan(batch.column("text"))]
     g, n = np.unique(np.concatenate(parts) if parts else np.empty(0, U), return_counts=True)
     keep = n > 1
     return pa.RecordBatch.from_arrays([pa.array(g[keep].view(np.int64)), pa.array(n[keep], pa.int64())], names=["token", "n"])
@@ -127,23 +128,37 @@ def token_orders(documents: DataFrame, k: int) -> Orders:
 
 
 def _signatures(batch: pa.RecordBatch, orders: Orders, k: int, percent: int) -> pa.RecordBatch:
-    n, cls, check, tokens, ptrs = [], [], [], [], [np.zeros(1, np.int64)]
-    seen: set[int] = set()
+    n, core, cls, check, tokens, ptr_out = [], [], [], [], [], [0]
+    first: dict[int, int] = {}
     for w in bytewise.scan(batch.column("text")):
-        g, ptr = shingle_sets(w, k)
+        g, ptr = shingles(w, k)
         c, d = _classes(g, ptr)
-        t, p = orders.prefixes(g, ptr, 0, percent)
-        # A class's tokens are needed once in a batch.
-        first = np.array([x not in seen and not seen.add(x) for x in c.tolist()], bool)
-        size = np.diff(p)
-        tokens.append(t[np.repeat(first, size)])
-        ptrs.append(ptrs[-1][-1] + np.cumsum(np.where(first, size, 0)))
-        n.append(np.diff(ptr))
+        ranks = orders.ranks(g, 0)
+        for i, x in enumerate(c.tolist()):
+            # A class's tokens are needed once in a batch.
+            if x in first:
+                n.append(first[x])
+                core.append(0)
+            else:
+                a, b = ptr[i], ptr[i + 1]
+                r, at = np.unique(ranks[a:b], return_index=True)
+                own = g[a:b][at]
+                if len(own) and len(np.unique(g[a:b])) != len(own):
+                    own = np.unique(g[a:b])
+                    own = own[np.argsort(orders.ranks(own, 0), kind="stable")]
+                first[x] = len(own)
+                n.append(len(own))
+                core.append(core_size(len(own), percent))
+                tokens.append(own[: core[-1] + more_shared(len(own)) - 1] if len(own) else own)
+                ptr_out.append(ptr_out[-1] + len(tokens[-1]))
+                continue
+            ptr_out.append(ptr_out[-1])
         cls.append(c)
         check.append(d)
+    flat = np.concatenate(tokens) if tokens else np.empty(0, U)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), *(pa.array(np.concatenate(x), pa.int64()) for x in (n, cls, check)), bytewise.list_array(np.concatenate(tokens).view(np.int64), np.concatenate(ptrs), pa.int64())],
-        names=["doc_id", "n", "cls", "check", "prefix"],
+        [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(core, pa.int32()), pa.array(np.concatenate(cls)), pa.array(np.concatenate(check)), bytewise.list_array(flat.view(np.int64), np.array(ptr_out), pa.int64())],
+        names=["doc_id", "n", "core", "cls", "check", "prefix"],
     )
 
 
@@ -186,38 +201,40 @@ def _bloom_of(ids: DataFrame) -> Bloom:
     return out
 
 
-def _sets(batch: pa.RecordBatch, orders: Orders, bloom: Bloom, k: int, percent: int) -> pa.RecordBatch:
-    """cls, its sorted set, and its prefixes under the further orders, where the filter has it."""
-    cls, sets, others = [], [], []
-    seen: set[int] = set()
+def _sets(batch: pa.RecordBatch, bloom: Bloom, k: int) -> pa.RecordBatch:
+    """cls and its sorted set, where the filter has it."""
+    found: dict[int, bytes] = {}
     for w in bytewise.scan(batch.column("text")):
-        g, ptr = shingle_sets(w, k)
+        g, ptr = shingles(w, k)
         c, _ = _classes(g, ptr)
-        wanted = np.flatnonzero(bloom.has(c) & (np.diff(ptr) > 0))
-        if not len(wanted):
-            continue
-        prefixes = [orders.prefixes(g, ptr, o, percent) for o in range(1, ORDERS)]
-        for i in wanted.tolist():
-            if (x := int(c[i])) not in seen:
-                seen.add(x)
-                cls.append(x)
-                sets.append(g[ptr[i] : ptr[i + 1]].tobytes())
-                others.append([t[p[i] : p[i + 1]].tobytes() for t, p in prefixes])
-    return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary()), pa.array(others, pa.list_(pa.binary()))], names=["cls", "items", "prefixes"])
-
-
-def _verify(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    u, v = batch.column("u"), batch.column("v")
+        for i in np.flatnonzero(bloom.has(c) & (np.diff(ptr) > 0)).tolist():
+            if (x := int(c[i])) not in found:
+                found[x] = np.unique(g[ptr[i] : ptr[i + 1]]).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["cls", "items"])
+
+
+def _share(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Pairs whose longer prefixes under the first order share enough, and whose sizes fit."""
+    keep = []
+    for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "p", "q")), strict=True):
+        fits = 100 * min(n, m) >= percent * max(n, m)
+        keep.append(fits and len(np.intersect1d(np.array(p, np.int64), np.array(q, np.int64), assume_unique=True)) >= min(more_shared(n), more_shared(m)))
+    return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verify(batch: pa.RecordBatch, orders: Orders, percent: int) -> pa.RecordBatch:
+    """Prefixes of the other orders, then the sets themselves."""
     linked = []
-    view = lambda x: np.frombuffer(x, U)
-    for a, b, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "p", "q")), strict=True):
-        if any(len(np.intersect1d(view(x), view(y), assume_unique=True)) == 0 for x, y in zip(p, q, strict=True)):
-            linked.append(False)
-            continue
-        x, y = view(a), view(b)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        linked.append(100 * both >= percent * (len(x) + len(y) - both))
-    return pa.RecordBatch.from_arrays([u, v, pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
+    last: tuple = (None, None)
+    for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+        x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+        size = [core_size(len(z), percent) for z in (x, y)]
+        if last[0] != a:
+            last = (a, [orders.prefix(x, o, size[0]) for o in range(1, ORDERS)])
+        ok = all(len(np.intersect1d(p, orders.prefix(y, o, size[1]), assume_unique=True)) for o, p in enumerate(last[1], 1))
+        both = len(np.intersect1d(x, y, assume_unique=True)) if ok else 0
+        linked.append(ok and 100 * both >= percent * (len(x) + len(y) - both))
+    return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
 
 
 def _pair(a: str, b: str):
@@ -229,49 +246,55 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     spark = documents.sparkSession
     orders = token_orders(documents, k)
     shared = spark.sparkContext.broadcast(orders)
-    rows = materialize(map_batches(documents.select("doc_id", "text"), lambda b: _signatures(b, shared.value, k, percent), "doc_id bigint, n bigint, cls bigint, check bigint, prefix array<bigint>"), "shingle-classes")
+    rows = materialize(map_batches(documents.select("doc_id", "text"), lambda b: _signatures(b, shared.value, k, percent), "doc_id bigint, n bigint, core int, cls bigint, check bigint, prefix array<bigint>"), "shingle-classes")
     collided = rows.filter("n > 0").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").limit(1).count()
     if collided:
         raise RuntimeError("two shingle sets have one 64-bit class; change the salts")
-    prefix = rows.filter(F.size("prefix") > 0).select("cls", "n", F.explode("prefix").alias("token"))
-    lone = prefix.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("leader"), F.max("cls").alias("last")).filter(F.col("leader.cls") != F.col("last"))
-    groups = materialize(prefix.join(lone.select("token", F.col("leader.cls").alias("l_cls"), F.col("leader.n").alias("l_n")), "token").dropDuplicates(["token", "cls"]), "shingle-groups")
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    pairs = materialize(groups.filter((F.col("cls") != F.col("l_cls")) & fits("n", "l_n")).select(*_pair("cls", "l_cls")).distinct(), "pairs")
-    done, links, comps, leaders = None, None, None, 16
-    sets, bloom_pairs = None, None
+    prefix = rows.filter("core > 0").select("cls", F.explode(F.slice("prefix", 1, F.col("core"))).alias("token"))
+    shared_by = prefix.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader <> last").drop("last")
+    groups = materialize(prefix.join(shared_by, "token").distinct(), "shingle-groups")
+    tokens = rows.filter("core > 0").select("cls", "n", "prefix").dropDuplicates(["cls"])
+    pairs = materialize(groups.filter("cls <> leader").select(*_pair("cls", "leader")).distinct(), "pairs")
+    done, links, comps, sets, leaders = None, None, None, None, 16
     while True:
-        ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
         if pairs.limit(1).count():
-            seen = spark.sparkContext.broadcast(_bloom_of(ids))
-            found = map_batches(documents.select("text"), lambda b, seen=seen: _sets(b, shared.value, seen.value, k, percent), "cls bigint, items binary, prefixes array<binary>")
-            sets = materialize(found.groupBy("cls").agg(F.first("items").alias("items"), F.first("prefixes").alias("prefixes")), "shingle-sets")
-            side = lambda c, x, p: sets.select(F.col("cls").alias(c), F.col("items").alias(x), F.col("prefixes").alias(p))  # noqa: B023, E731
-            checked = map_batches(pairs.join(side("u", "a", "p"), "u").join(side("v", "b", "q"), "v").select("u", "v", "a", "b", "p", "q"), lambda b: _verify(b, percent), "u bigint, v bigint, linked boolean")
-            checked = materialize(checked, "pairs-checked")
-            done = checked.select("u", "v") if done is None else done.union(checked.select("u", "v"))
-            new = checked.filter("linked").select("u", "v")
-            if new.limit(1).count():
-                links = new if links is None else links.union(new)
-                comps = materialize(components(links), "components")
+            side = lambda c, n, p: tokens.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("prefix").alias(p))
+            near = materialize(map_batches(pairs.join(side("u", "n", "p"), "u").join(side("v", "m", "q"), "v").select("u", "v", "n", "m", "p", "q"), lambda b: _share(b, percent), "u bigint, v bigint"), "pairs-near")
+            done = pairs if done is None else done.union(pairs)
+            ids = near.select(F.col("u").alias("cls")).union(near.select("v")).distinct()
+            if sets is not None:
+                ids = ids.join(sets.select("cls"), "cls", "left_anti")
+            ids = materialize(ids, "shingle-ids")
+            if ids.limit(1).count():
+                seen = spark.sparkContext.broadcast(_bloom_of(ids))
+                found = map_batches(documents.select("text"), lambda b, seen=seen: _sets(b, seen.value, k), "cls bigint, items binary")
+                found = found.join(ids, "cls", "left_semi").dropDuplicates(["cls"])
+                found = materialize(found, "shingle-sets")
+                sets = found if sets is None else sets.union(found)
+            if sets is not None:
+                items = lambda c, x, sets=sets: sets.select(F.col("cls").alias(c), F.col("items").alias(x))
+                checked = map_batches(near.join(items("u", "a"), "u").join(items("v", "b"), "v").select("u", "v", "a", "b"), lambda b: _verify(b, shared.value, percent), "u bigint, v bigint, linked boolean")
+                new = materialize(checked.filter("linked").select("u", "v"), "links")
+                if new.limit(1).count():
+                    links = new if links is None else links.union(new)
+                    comps = materialize(components(links), "components")
         # Groups that hold more than one component, and their missing pairs.
-        rooted = groups.select("token", "cls", "n")
-        rooted = rooted.withColumn("root", F.col("cls")) if comps is None else rooted.join(comps, F.col("cls") == F.col("id"), "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
-        open_ = rooted.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token", "members")
-        left = rooted.join(open_, "token")
-        left = materialize(left, "groups-open")
-        small = left.filter(F.col("members") <= SMALL)
-        large = left.filter(F.col("members") > SMALL)
-        other = small.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        more = small.join(other, "token").filter((F.col("cls") < F.col("cls2")) & (F.col("root") != F.col("root2")) & fits("n", "n2")).select(F.col("cls").alias("u"), F.col("cls2").alias("v"))
-        if large.limit(1).count():
+        rooted = groups.select("token", "cls")
+        rooted = rooted.withColumn("root", F.col("cls")) if comps is None else rooted.join(comps, F.col("cls") == F.col("id"), "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
+        open_ = rooted.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1 and members > 2").select("token", "members")
+        left = materialize(rooted.join(open_, "token"), "groups-open")
+        small, large = left.filter(F.col("members") <= SMALL), left.filter(F.col("members") > SMALL)
+        other = small.select("token", F.col("cls").alias("cls2"), F.col("root").alias("root2"))
+        more = small.join(other, "token").filter("cls < cls2 and root <> root2").select(F.col("cls").alias("u"), F.col("cls2").alias("v"))
+        some = large.limit(1).count() > 0
+        if some:
             # The members with the smallest hashes lead, the same ones in every group they are in.
-            chosen = large.groupBy("token").agg(F.slice(F.array_sort(F.collect_set(F.when(_lead_share(leaders), F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "root")))), 1, leaders).alias("lead"), F.max("members").alias("m"))
-            led = large.join(chosen.select("token", F.explode("lead").alias("x")), "token").filter((F.col("root") != F.col("x.root")) & fits(F.col("n"), F.col("x.n")))
+            chosen = large.groupBy("token").agg(F.slice(F.array_sort(F.collect_set(F.when(_lead_share(leaders), F.struct(F.xxhash64("cls").alias("h"), "cls", "root")))), 1, leaders).alias("lead"))
+            led = large.join(chosen.select("token", F.explode("lead").alias("x")), "token").filter(F.col("root") != F.col("x.root"))
             more = more.union(led.select(F.least("cls", "x.cls"), F.greatest("cls", "x.cls")))
         more = more.distinct()
         pairs = materialize(more if done is None else more.join(done, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.limit(1).count() and not (leaders < 1 << 40 and _unfinished(large, leaders)):
+        if not pairs.limit(1).count() and not (some and _unfinished(large, leaders)):
             break
         leaders *= 8
     return rows, comps if comps is not None else spark.createDataFrame([], "id bigint, root bigint")
@@ -307,7 +330,7 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, cls = [], []
         for w in bytewise.scan(batch.column("text")):
-            g, ptr = shingle_sets(w, k)
+            g, ptr = shingles(w, k)
             cls.append(_classes(g, ptr)[0])
             n.append(np.diff(ptr))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(cls)), pa.array(np.concatenate(n), pa.int64())], names=[*batch.schema.names, "_cls", "_n"])
