@@ -47,8 +47,8 @@ OFTEN = 8
 ORDERS = 3
 #: Groups of up to so many classes get all their missing pairs in one round.
 SMALL = 24
-#: Bytes of the Bloom filter.
-BLOOM = 4 << 20
+#: Largest size of a Bloom filter, in bytes. Beyond it more rows pass, all of them right.
+BLOOM = 32 << 20
 
 U = np.uint64
 _SALTS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5)]
@@ -128,7 +128,7 @@ def token_orders(documents: DataFrame, k: int) -> Orders:
 
 
 def _signatures(batch: pa.RecordBatch, orders: Orders, k: int, percent: int) -> pa.RecordBatch:
-    n, core, cls, check, tokens, ptr_out = [], [], [], [], [], [0]
+    n, cls, check, tokens, ptr_out, longer = [], [], [], [], [0], []
     first: dict[int, int] = {}
     for w in bytewise.scan(batch.column("text")):
         g, ptr = shingles(w, k)
@@ -138,7 +138,7 @@ def _signatures(batch: pa.RecordBatch, orders: Orders, k: int, percent: int) ->
             # A class's tokens are needed once in a batch.
             if x in first:
                 n.append(first[x])
-                core.append(0)
+                longer.append(None)
             else:
                 a, b = ptr[i], ptr[i + 1]
                 r, at = np.unique(ranks[a:b], return_index=True)
@@ -148,24 +148,26 @@ def _signatures(batch: pa.RecordBatch, orders: Orders, k: int, percent: int) ->
                     own = own[np.argsort(orders.ranks(own, 0), kind="stable")]
                 first[x] = len(own)
                 n.append(len(own))
-                core.append(core_size(len(own), percent))
-                tokens.append(own[: core[-1] + more_shared(len(own)) - 1] if len(own) else own)
-                ptr_out.append(ptr_out[-1] + len(tokens[-1]))
+                size = core_size(len(own), percent)
+                tokens.append(own[:size])
+                # 32 bits do: equal tokens stay equal, and a filter may let more pass.
+                longer.append(np.sort(own[: size + more_shared(len(own)) - 1].astype(np.uint32)).tobytes() if size else None)
+                ptr_out.append(ptr_out[-1] + size)
                 continue
             ptr_out.append(ptr_out[-1])
         cls.append(c)
         check.append(d)
     flat = np.concatenate(tokens) if tokens else np.empty(0, U)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(core, pa.int32()), pa.array(np.concatenate(cls)), pa.array(np.concatenate(check)), bytewise.list_array(flat.view(np.int64), np.array(ptr_out), pa.int64())],
-        names=["doc_id", "n", "core", "cls", "check", "prefix"],
+        [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.concatenate(cls)), pa.array(np.concatenate(check)), bytewise.list_array(flat.view(np.int64), np.array(ptr_out), pa.int64()), pa.array(longer, pa.binary())],
+        names=["doc_id", "n", "cls", "check", "prefix", "longer"],
     )
 
 
 class Bloom:
-    """Two bits for each id in a table of fixed size."""
+    """Two bits for each id in a table of a given size."""
 
-    def __init__(self, size: int = BLOOM):
+    def __init__(self, size: int):
         self.bits = np.zeros(size * 8, bool)
 
     def _at(self, ids: np.ndarray, i: int) -> np.ndarray:
@@ -182,20 +184,22 @@ class Bloom:
 def _bloom_of(ids: DataFrame) -> Bloom:
     """Built by partitions, which send packed filters; they are joined in two levels."""
 
+    size = min(BLOOM, max(1 << 16, 2 * ids.count()))
+
     def build(batches):
-        b = Bloom()
+        b = Bloom(size)
         for batch in batches:
             b.add(batch.column(0).to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(b.bits).tobytes()], pa.binary())], names=["bits"])
 
     def join(batches):
-        bits = np.zeros(BLOOM, np.uint8)
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 bits |= np.frombuffer(x, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    out = Bloom()
+    out = Bloom(size)
     for r in ids.mapInArrow(build, "bits binary").repartition(8).mapInArrow(join, "bits binary").repartition(1).mapInArrow(join, "bits binary").collect():
         out.bits |= np.unpackbits(np.frombuffer(r[0], np.uint8)).astype(bool)
     return out
@@ -213,12 +217,24 @@ def _sets(batch: pa.RecordBatch, bloom: Bloom, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["cls", "items"])
 
 
-def _share(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """Pairs whose longer prefixes under the first order share enough, and whose sizes fit."""
+def _explode(batch: pa.RecordBatch, bloom: Bloom) -> pa.RecordBatch:
+    """Prefix tokens one by one, without most that no other class has."""
+    prefix = batch.column("prefix")
+    token = prefix.flatten().to_numpy(zero_copy_only=False)
+    size = prefix.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    cls = np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), size)
+    keep = bloom.has(token)
+    return pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(token[keep])], names=["cls", "token"])
+
+
+def _share(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pairs whose longer prefixes under the first order share enough."""
     keep = []
     for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "p", "q")), strict=True):
-        fits = 100 * min(n, m) >= percent * max(n, m)
-        keep.append(fits and len(np.intersect1d(np.array(p, np.int64), np.array(q, np.int64), assume_unique=True)) >= min(more_shared(n), more_shared(m)))
+        x, y = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        # Tokens that fall together in 32 bits stand twice, so none is missed.
+        keep.append(int((y[at] == x).sum()) >= min(more_shared(n), more_shared(m)))
     return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -246,20 +262,29 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     spark = documents.sparkSession
     orders = token_orders(documents, k)
     shared = spark.sparkContext.broadcast(orders)
-    rows = materialize(map_batches(documents.select("doc_id", "text"), lambda b: _signatures(b, shared.value, k, percent), "doc_id bigint, n bigint, core int, cls bigint, check bigint, prefix array<bigint>"), "shingle-classes")
+    rows = materialize(map_batches(documents.select("doc_id", "text"), lambda b: _signatures(b, shared.value, k, percent), "doc_id bigint, n bigint, cls bigint, check bigint, prefix array<bigint>, longer binary"), "shingle-classes")
     collided = rows.filter("n > 0").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").limit(1).count()
     if collided:
         raise RuntimeError("two shingle sets have one 64-bit class; change the salts")
-    prefix = rows.filter("core > 0").select("cls", F.explode(F.slice("prefix", 1, F.col("core"))).alias("token"))
+    prefix = rows.filter(F.size("prefix") > 0).select("cls", F.explode("prefix").alias("token"))
     shared_by = prefix.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader <> last").drop("last")
-    groups = materialize(prefix.join(shared_by, "token").distinct(), "shingle-groups")
-    tokens = rows.filter("core > 0").select("cls", "n", "prefix").dropDuplicates(["cls"])
+    shared_by = materialize(shared_by, "shingle-shared")
+    several = spark.sparkContext.broadcast(_bloom_of(shared_by.select("token")))
+    groups = materialize(map_batches(rows.select("cls", "prefix"), lambda b: _explode(b, several.value), "cls bigint, token bigint").join(shared_by, "token").distinct(), "shingle-groups")
+    tokens = rows.filter("longer is not null").select("cls", "n", "longer").dropDuplicates(["cls"])
+    sizes = rows.filter("longer is not null").select("cls", "n").distinct()
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        """Pairs of sizes that can be similar enough."""
+        of = lambda c, n: sizes.select(F.col("cls").alias(c), F.col("n").alias(n))
+        return pairs.join(of("u", "n"), "u").join(of("v", "m"), "v").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("u", "v", "n", "m")
+
     pairs = materialize(groups.filter("cls <> leader").select(*_pair("cls", "leader")).distinct(), "pairs")
     done, links, comps, sets, leaders = None, None, None, None, 16
     while True:
         if pairs.limit(1).count():
-            side = lambda c, n, p: tokens.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("prefix").alias(p))
-            near = materialize(map_batches(pairs.join(side("u", "n", "p"), "u").join(side("v", "m", "q"), "v").select("u", "v", "n", "m", "p", "q"), lambda b: _share(b, percent), "u bigint, v bigint"), "pairs-near")
+            side = lambda c, p: tokens.select(F.col("cls").alias(c), F.col("longer").alias(p))
+            near = materialize(map_batches(fitting(pairs).join(side("u", "p"), "u").join(side("v", "q"), "v").select("u", "v", "n", "m", "p", "q"), _share, "u bigint, v bigint"), "pairs-near")
             done = pairs if done is None else done.union(pairs)
             ids = near.select(F.col("u").alias("cls")).union(near.select("v")).distinct()
             if sets is not None:
