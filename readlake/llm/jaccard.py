@@ -7,7 +7,8 @@
    both. All orders used here put rare tokens first (by a bounded table of the most
    frequent ones) and break ties by a different hash each.
 3. Classes that share a prefix token under the first order are grouped by it. Instead of all
-   pairs of a group, each round compares its members with a few leaders. Verified links
+   pairs of a group, each round compares its members with a few leaders, where sizes and the
+   token's place in both sets leave room for enough shared tokens after it. Verified links
    make components; a group whose members are all in one component needs nothing more.
    Groups that are not settled get their missing pairs in later rounds: small ones all
    at once, large ones with eight times as many leaders each round, until none is left. So
@@ -222,9 +223,9 @@ def _explode(batch: pa.RecordBatch, bloom: Bloom) -> pa.RecordBatch:
     prefix = batch.column("prefix")
     token = prefix.flatten().to_numpy(zero_copy_only=False)
     size = prefix.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    cls = np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), size)
     keep = bloom.has(token)
-    return pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(token[keep])], names=["cls", "token"])
+    cls, n, first = (np.repeat(x, size)[keep] for x in (batch.column("cls").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False), np.cumsum(size) - size))
+    return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n.astype(np.int32)), pa.array(token[keep]), pa.array((np.flatnonzero(keep) - first).astype(np.int32))], names=["cls", "n", "token", "pos"])
 
 
 def _share(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -270,21 +271,35 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     shared_by = prefix.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader <> last").drop("last")
     shared_by = materialize(shared_by, "shingle-shared")
     several = spark.sparkContext.broadcast(_bloom_of(shared_by.select("token")))
-    groups = materialize(map_batches(rows.select("cls", "prefix"), lambda b: _explode(b, several.value), "cls bigint, token bigint").join(shared_by, "token").distinct(), "shingle-groups")
+    groups = map_batches(rows.select("cls", "n", "prefix"), lambda b: _explode(b, several.value), "cls bigint, n int, token bigint, pos int").join(shared_by.select("token"), "token").distinct()
+    groups = materialize(groups, "shingle-groups")
     tokens = rows.filter("longer is not null").select("cls", "n", "longer").dropDuplicates(["cls"])
-    sizes = rows.filter("longer is not null").select("cls", "n").distinct()
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs of sizes that can be similar enough."""
-        of = lambda c, n: sizes.select(F.col("cls").alias(c), F.col("n").alias(n))
-        return pairs.join(of("u", "n"), "u").join(of("v", "m"), "v").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("u", "v", "n", "m")
-
-    pairs = materialize(groups.filter("cls <> leader").select(*_pair("cls", "leader")).distinct(), "pairs")
-    done, links, comps, sets, leaders = None, None, None, None, 16
+    done, links, comps, sets, leaders = None, None, None, None, 1
     while True:
+        # Groups that hold more than one component, and their missing pairs.
+        rooted = groups.withColumn("root", F.col("cls")) if comps is None else groups.join(comps, F.col("cls") == F.col("id"), "left").select(*groups.columns, F.coalesce("root", "cls").alias("root"))
+        # A member whose token comes too late for even the smallest partner has none here.
+        least = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("n_min"))
+        bound = rooted.join(groups.groupBy("token").agg(F.min("n").alias("n_min")), "token").filter(_room("n", "pos", least, percent)).drop("n_min")
+        open_ = bound.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token", "members")
+        left = materialize(bound.join(open_, "token"), "groups-open")
+        small = left.filter(F.col("members") <= (SMALL if leaders > 1 else 0))
+        large = left.filter(F.col("members") > (SMALL if leaders > 1 else 0))
+        other = small.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "pos", "root")])
+        more = small.join(other, (small["token"] == other["token"]) & (F.col("cls") < F.col("cls2")) & (F.col("root") != F.col("root2")) & _meet("n", "pos", "n2", "pos2", percent)).select(*_pair("cls", "cls2"))
+        some = large.limit(1).count() > 0
+        if some:
+            # Those with the fewest rarer tokens lead: they are nearest to what a group has in common.
+            rank = F.struct("pos", "cls", "n", "root")
+            lead = F.array(F.min(rank)) if leaders == 1 else F.slice(F.array_sort(F.collect_list(F.when(_may_lead(leaders), rank))), 1, leaders)
+            chosen = large.groupBy("token").agg(lead.alias("lead")).select(F.col("token").alias("t"), F.explode("lead").alias("x")).select("t", *[F.col("x." + c).alias(c + "2") for c in ("cls", "n", "pos", "root")])
+            led = large.join(chosen, (F.col("token") == F.col("t")) & (F.col("root") != F.col("root2")) & _meet("n", "pos", "n2", "pos2", percent))
+            more = more.union(led.select(*_pair("cls", "cls2")))
+        more = more.distinct()
+        pairs = materialize(more if done is None else more.join(done, ["u", "v"], "left_anti"), "pairs")
         if pairs.limit(1).count():
-            side = lambda c, p: tokens.select(F.col("cls").alias(c), F.col("longer").alias(p))
-            near = materialize(map_batches(fitting(pairs).join(side("u", "p"), "u").join(side("v", "q"), "v").select("u", "v", "n", "m", "p", "q"), _share, "u bigint, v bigint"), "pairs-near")
+            side = lambda c, n, p: tokens.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("longer").alias(p))
+            near = materialize(map_batches(pairs.join(side("u", "n", "p"), "u").join(side("v", "m", "q"), "v").select("u", "v", "n", "m", "p", "q"), _share, "u bigint, v bigint"), "pairs-near")
             done = pairs if done is None else done.union(pairs)
             ids = near.select(F.col("u").alias("cls")).union(near.select("v")).distinct()
             if sets is not None:
@@ -303,29 +318,23 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
                 if new.limit(1).count():
                     links = new if links is None else links.union(new)
                     comps = materialize(components(links), "components")
-        # Groups that hold more than one component, and their missing pairs.
-        rooted = groups.select("token", "cls")
-        rooted = rooted.withColumn("root", F.col("cls")) if comps is None else rooted.join(comps, F.col("cls") == F.col("id"), "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
-        open_ = rooted.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1 and members > 2").select("token", "members")
-        left = materialize(rooted.join(open_, "token"), "groups-open")
-        small, large = left.filter(F.col("members") <= SMALL), left.filter(F.col("members") > SMALL)
-        other = small.select("token", F.col("cls").alias("cls2"), F.col("root").alias("root2"))
-        more = small.join(other, "token").filter("cls < cls2 and root <> root2").select(F.col("cls").alias("u"), F.col("cls2").alias("v"))
-        some = large.limit(1).count() > 0
-        if some:
-            # The members with the smallest hashes lead, the same ones in every group they are in.
-            chosen = large.groupBy("token").agg(F.slice(F.array_sort(F.collect_set(F.when(_lead_share(leaders), F.struct(F.xxhash64("cls").alias("h"), "cls", "root")))), 1, leaders).alias("lead"))
-            led = large.join(chosen.select("token", F.explode("lead").alias("x")), "token").filter(F.col("root") != F.col("x.root"))
-            more = more.union(led.select(F.least("cls", "x.cls"), F.greatest("cls", "x.cls")))
-        more = more.distinct()
-        pairs = materialize(more if done is None else more.join(done, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.limit(1).count() and not (some and _unfinished(large, leaders)):
+        elif leaders > 1 and not (some and _unfinished(large, leaders)):
             break
-        leaders *= 8
+        leaders = 16 if leaders == 1 else leaders * 8
     return rows, comps if comps is not None else spark.createDataFrame([], "id bigint, root bigint")
 
 
-def _lead_share(leaders: int):
+def _room(n: str, pos: str, m, percent: int):
+    """Whether enough tokens are left from a place on, if this is the first shared one."""
+    return (F.col(n) - F.col(pos)) * (100 + percent) >= (F.col(n) + (F.col(m) if isinstance(m, str) else m)) * percent
+
+
+def _meet(n: str, pos: str, m: str, at: str, percent: int):
+    """Whether sets of these sizes can link if this token is the first that they share."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _room(n, pos, m, percent) & _room(m, at, n, percent)
+
+
+def _may_lead(leaders: int):
     """Members that may lead: about four times as many as wanted, by their hash, so that no
     group collects all of its members."""
     share = F.least(F.lit(1.0), F.lit(4.0 * leaders) / F.col("members"))
