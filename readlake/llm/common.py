@@ -57,13 +57,13 @@ def with_uid(df: DataFrame) -> DataFrame:
     return df.withColumn("_uid", F.monotonically_increasing_id())
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, rows: int = 1 << 30) -> DataFrame:
+    """``mapInArrow`` with a function of one batch, of at most ``rows`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:

@@ -11,7 +11,7 @@
    token's place in both sets leave room for enough shared tokens after it. Verified links
    make components; a group whose members are all in one component needs nothing more.
    Groups that are not settled get their missing pairs in later rounds: small ones all
-   at once, large ones with eight times as many leaders each round, until none is left. So
+   at once, large ones with more leaders each round, until none is left. So
    no link between different components is missed, and no cap drops a pair.
 4. Candidates are filtered before verification: by size; by the number of tokens that
    somewhat longer prefixes under the first order must share; and by sharing a prefix
@@ -115,9 +115,14 @@ class Orders:
 def _frequent(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     """Tokens that stand more than once in the batch."""
     parts = [shingles(w, k)[0] for w in bytewise.scan(batch.column("text"))]
-    g, n = np.unique(np.concatenate(parts) if parts else np.empty(0, U), return_counts=True)
-    keep = n > 1
-    return pa.RecordBatch.from_arrays([pa.array(g[keep].view(np.int64)), pa.array(n[keep], pa.int64())], names=["token", "n"])
+    g = np.concatenate(parts) if parts else np.empty(0, U)
+    del parts
+    g.sort()
+    # Starts of runs of two or more.
+    same = g[1:] == g[:-1]
+    first = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
+    last = np.flatnonzero(same & ~np.concatenate([same[1:], [False]]))
+    return pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(last - first + 2, pa.int64())], names=["token", "n"])
 
 
 def token_orders(documents: DataFrame, k: int) -> Orders:
@@ -169,17 +174,19 @@ class Bloom:
     """Two bits for each id in a table of a given size."""
 
     def __init__(self, size: int):
-        self.bits = np.zeros(size * 8, bool)
+        self.bits = np.zeros(size, np.uint8)
 
     def _at(self, ids: np.ndarray, i: int) -> np.ndarray:
-        return (bytewise.mix(ids.view(U) + _SALTS[i]) % U(len(self.bits))).astype(np.int64)
+        return (bytewise.mix(ids.view(U) + _SALTS[i]) % U(8 * len(self.bits))).astype(np.int64)
 
     def add(self, ids: np.ndarray) -> None:
         for i in range(2):
-            self.bits[self._at(ids, i)] = True
+            at = self._at(ids, i)
+            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def has(self, ids: np.ndarray) -> np.ndarray:
-        return self.bits[self._at(ids, 0)] & self.bits[self._at(ids, 1)]
+        a, b = self._at(ids, 0), self._at(ids, 1)
+        return ((self.bits[a >> 3] >> (a & 7)) & (self.bits[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
 def _bloom_of(ids: DataFrame) -> Bloom:
@@ -191,7 +198,7 @@ def _bloom_of(ids: DataFrame) -> Bloom:
         b = Bloom(size)
         for batch in batches:
             b.add(batch.column(0).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(b.bits).tobytes()], pa.binary())], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([b.bits.tobytes()], pa.binary())], names=["bits"])
 
     def join(batches):
         bits = np.zeros(size, np.uint8)
@@ -202,7 +209,7 @@ def _bloom_of(ids: DataFrame) -> Bloom:
 
     out = Bloom(size)
     for r in ids.mapInArrow(build, "bits binary").repartition(8).mapInArrow(join, "bits binary").repartition(1).mapInArrow(join, "bits binary").collect():
-        out.bits |= np.unpackbits(np.frombuffer(r[0], np.uint8)).astype(bool)
+        out.bits |= np.frombuffer(r[0], np.uint8)
     return out
 
 
@@ -263,7 +270,7 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     spark = documents.sparkSession
     orders = token_orders(documents, k)
     shared = spark.sparkContext.broadcast(orders)
-    rows = materialize(map_batches(documents.select("doc_id", "text"), lambda b: _signatures(b, shared.value, k, percent), "doc_id bigint, n bigint, cls bigint, check bigint, prefix array<bigint>, longer binary"), "shingle-classes")
+    rows = materialize(map_batches(documents.select("doc_id", "text"), lambda b: _signatures(b, shared.value, k, percent), "doc_id bigint, n bigint, cls bigint, check bigint, prefix array<bigint>, longer binary", 2000), "shingle-classes")
     collided = rows.filter("n > 0").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").limit(1).count()
     if collided:
         raise RuntimeError("two shingle sets have one 64-bit class; change the salts")
@@ -271,7 +278,7 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     shared_by = prefix.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader <> last").drop("last")
     shared_by = materialize(shared_by, "shingle-shared")
     several = spark.sparkContext.broadcast(_bloom_of(shared_by.select("token")))
-    groups = map_batches(rows.select("cls", "n", "prefix"), lambda b: _explode(b, several.value), "cls bigint, n int, token bigint, pos int").join(shared_by.select("token"), "token").distinct()
+    groups = map_batches(rows.select("cls", "n", "prefix"), lambda b: _explode(b, several.value), "cls bigint, n int, token bigint, pos int", 2000).join(shared_by.select("token"), "token").distinct()
     groups = materialize(groups, "shingle-groups")
     tokens = rows.filter("longer is not null").select("cls", "n", "longer").dropDuplicates(["cls"])
     done, links, comps, sets, leaders = None, None, None, None, 1
@@ -299,7 +306,7 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
         pairs = materialize(more if done is None else more.join(done, ["u", "v"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             side = lambda c, n, p: tokens.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("longer").alias(p))
-            near = materialize(map_batches(pairs.join(side("u", "n", "p"), "u").join(side("v", "m", "q"), "v").select("u", "v", "n", "m", "p", "q"), _share, "u bigint, v bigint"), "pairs-near")
+            near = materialize(map_batches(pairs.join(side("u", "n", "p"), "u").join(side("v", "m", "q"), "v").select("u", "v", "n", "m", "p", "q"), _share, "u bigint, v bigint", 2000), "pairs-near")
             done = pairs if done is None else done.union(pairs)
             ids = near.select(F.col("u").alias("cls")).union(near.select("v")).distinct()
             if sets is not None:
@@ -307,20 +314,20 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
             ids = materialize(ids, "shingle-ids")
             if ids.limit(1).count():
                 seen = spark.sparkContext.broadcast(_bloom_of(ids))
-                found = map_batches(documents.select("text"), lambda b, seen=seen: _sets(b, seen.value, k), "cls bigint, items binary")
+                found = map_batches(documents.select("text"), lambda b, seen=seen: _sets(b, seen.value, k), "cls bigint, items binary", 2000)
                 found = found.join(ids, "cls", "left_semi").dropDuplicates(["cls"])
                 found = materialize(found, "shingle-sets")
                 sets = found if sets is None else sets.union(found)
             if sets is not None:
                 items = lambda c, x, sets=sets: sets.select(F.col("cls").alias(c), F.col("items").alias(x))
-                checked = map_batches(near.join(items("u", "a"), "u").join(items("v", "b"), "v").select("u", "v", "a", "b"), lambda b: _verify(b, shared.value, percent), "u bigint, v bigint, linked boolean")
+                checked = map_batches(near.join(items("u", "a"), "u").join(items("v", "b"), "v").select("u", "v", "a", "b"), lambda b: _verify(b, shared.value, percent), "u bigint, v bigint, linked boolean", 500)
                 new = materialize(checked.filter("linked").select("u", "v"), "links")
                 if new.limit(1).count():
                     links = new if links is None else links.union(new)
                     comps = materialize(components(links), "components")
         elif leaders > 1 and not (some and _unfinished(large, leaders)):
             break
-        leaders = 16 if leaders == 1 else leaders * 8
+        leaders *= 32
     return rows, comps if comps is not None else spark.createDataFrame([], "id bigint, root bigint")
 
 
