@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -125,6 +126,7 @@ def write_shards(documents: DataFrame, out_dir: str, vocabulary: str = VOCABULAR
         f.write(json.dumps({"sequences": n, "tokens": total, "seq_len": seq_len, "stride": stride, "shard_rows": shard_rows, "dtype": "<u2", "end": END, "key": key, "rounds": ROUNDS}).encode())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for batch in batches:
             ids, data, start = batch.column("doc_id"), batch.column("tokens"), batch.column("start").to_numpy()
             count = batch.column("n_tokens").to_numpy()
@@ -133,56 +135,48 @@ def write_shards(documents: DataFrame, out_dir: str, vocabulary: str = VOCABULAR
             row = np.repeat(np.arange(len(many)), many)
             seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             lo, hi = np.maximum(seq * seq_len, start[row]), np.minimum((seq + 1) * seq_len, (start + count)[row])
-            raw = data.to_pylist()
-            pieces = [raw[r][2 * (a - s) : 2 * (b - s)] for r, a, b, s in zip(row.tolist(), lo.tolist(), hi.tolist(), start[row].tolist(), strict=True)]
             slot = permute(seq, n, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot), pa.array(seq), pa.array((lo - seq * seq_len).astype(np.int32)), ids.take(pa.array(row)), pa.array(pieces, pa.binary())],
-                names=["shard", "slot", "sequence", "at", "doc_id", "piece"])
+            order = np.argsort(slot, kind="stable")
+            slot, seq, row, lo, hi = (x[order] for x in (slot, seq, row, lo, hi))
+            raw, own = data.to_pylist(), start[row]
+            shard = slot // shard_rows
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+            # What a batch has for a shard travels as one compressed row.
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
+                body = b"".join(raw[r][2 * (x - s) : 2 * (y - s)] for r, x, y, s in zip(row[a:b].tolist(), lo[a:b].tolist(), hi[a:b].tolist(), own[a:b].tolist(), strict=True))
+                lists = [pa.array([v], pa.list_(pa.int64())) for v in (slot[a:b], seq[a:b], lo[a:b] - seq[a:b] * seq_len, hi[a:b] - lo[a:b])]
+                docs = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.take(pa.array(row[a:b])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard[a]], pa.int32()), *lists, docs, pa.array([len(body)], pa.int64()), pa.array([codec.compress(body, asbytes=True)], pa.binary())],
+                    names=["shard", "slot", "sequence", "at", "size", "doc_id", "bytes", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(out_dir)
-        pad = np.array([END], "<u2").tobytes()
-        stream, name, shard, done = None, "", -1, []
-        slot, seq, ids, held = -1, -1, [], []
-
-        def flush():
-            if slot >= 0:
-                own = b"".join(held)
-                record = own + pad * (seq_len - len(own) // 2)
-                stream.write(record)
-                done.append((slot, seq, shard, slot % shard_rows * stride, len(own) // 2, ids, hashlib.sha256(record).hexdigest()))
-
-        def close():
-            if stream is not None:
-                stream.close()
-                where.move(name, f"{root}/shard-{shard:06d}.bin")
-
-        def made() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["slot", "sequence", "shard", "byte_offset", "n_tokens", "doc_ids", "sha256"])
-
+        codec, pad = pa.Codec("zstd"), np.array([END], "<u2").tobytes()
+        held: dict[int, list] = {}
+        # A partition is one shard, so this holds one shard's bytes.
         for batch in batches:
-            for h, s, q, d, piece in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "sequence", "doc_id", "piece")), strict=True):
-                if s != slot:
-                    flush()
-                    if h != shard:
-                        close()
-                        context = TaskContext.get()
-                        shard, name = h, f"{root}/.shard-{h:06d}-{context.taskAttemptId()}"
-                        stream = where.open_output_stream(name)
-                    slot, seq, ids, held = s, q, [], []
-                ids.append(d)
-                held.append(piece)
-            yield made()
-            done.clear()
-        flush()
-        close()
-        yield made()
+            for r in batch.to_pylist():
+                body, past = codec.decompress(r["data"], r["bytes"], asbytes=True), 0
+                for slot, seq, at, size, doc in zip(r["slot"], r["sequence"], r["at"], r["size"], r["doc_id"], strict=True):
+                    held.setdefault(r["shard"], []).append((slot, at, seq, doc, body[past : past + 2 * size]))
+                    past += 2 * size
+        for shard, pieces in sorted(held.items()):
+            name = f"{root}/.shard-{shard:06d}-{TaskContext.get().taskAttemptId()}"
+            done = []
+            with where.open_output_stream(name) as stream:
+                for slot, own in itertools.groupby(sorted(pieces, key=lambda p: p[:2]), key=lambda p: p[0]):
+                    own = list(own)
+                    text = b"".join(p[4] for p in own)
+                    record = text + pad * (seq_len - len(text) // 2)
+                    stream.write(record)
+                    done.append((slot, own[0][2], shard, slot % shard_rows * stride, len(text) // 2, [p[3] for p in own], hashlib.sha256(record).hexdigest()))
+            where.move(name, f"{root}/shard-{shard:06d}.bin")
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=["slot", "sequence", "shard", "byte_offset", "n_tokens", "doc_ids", "sha256"])
 
     placed = rows.join(broadcast_if_small(offsets.select("part", "base"), 16), "part").select("doc_id", "n_tokens", "tokens", (F.col("base") + F.col("before")).alias("start"))
-    dealt = placed.mapInArrow(cut, "shard int, slot bigint, sequence bigint, at int, doc_id bigint, piece binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "at")
+    dealt = placed.mapInArrow(cut, "shard int, slot array<bigint>, sequence array<bigint>, at array<bigint>, size array<bigint>, doc_id array<bigint>, bytes bigint, data binary").repartitionById(shards, F.col("shard"))
     return dealt.mapInArrow(write, "slot bigint, sequence bigint, shard bigint, byte_offset bigint, n_tokens bigint, doc_ids array<bigint>, sha256 string")
 
 
