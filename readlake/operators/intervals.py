@@ -33,11 +33,12 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", width: int = BI
     """
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((F.greatest(hi, lo + 1) - 1) / width)))
     if how in ("semi", "anti", "flag"):
-        a = a.withColumn("_row", F.monotonically_increasing_id())
-        hit = overlap_join(a.select("contig", "start_pos", "end_pos", "_row"), b.select("contig", "start_pos", "end_pos"), "inner", width, pad).select("_row").distinct()
+        # Hits go by coordinates: row numbers could differ between two evaluations of ``a``.
+        at = ["contig", "start_pos", "end_pos"]
+        hit = overlap_join(a.select(*at).distinct(), b.select(*at), "inner", width, pad).select(*at).distinct()
         if how == "flag":
-            return a.join(hit.withColumn("hit", F.lit(True)), "_row", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("_row")
-        return a.join(hit, "_row", "left_semi" if how == "semi" else "left_anti").drop("_row")
+            return a.join(hit.withColumn("hit", F.lit(True)), at, "left").withColumn("hit", F.coalesce("hit", F.lit(False))).select(*a.columns, "hit")
+        return a.join(hit, at, "left_semi" if how == "semi" else "left_anti").select(*a.columns)
     right = b.select(*[F.col(c).alias(c + "_b") for c in b.columns])
     left = a.withColumn("_bin", bins(F.col("start_pos") - pad, F.col("end_pos") + pad))
     right = right.withColumn("_bin_b", bins(F.col("start_pos_b"), F.col("end_pos_b")))
@@ -81,13 +82,14 @@ def nearest(a: DataFrame, b: DataFrame, distance: int = 10, width: int = BIN) ->
     return overlap_join(as_interval(a), as_interval(b), "flag", width, distance).drop("start_pos", "end_pos")
 
 
-def as_of(df: DataFrame, bounds: DataFrame, key: str, bound: str, value: str) -> DataFrame:
-    """The value of the first bound above each key.
+def as_of(df: DataFrame, bounds: DataFrame, key: str, bound: str, value: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with the value of the first bound above each key (null beyond the last).
 
-    Both sides stand in one sorted sequence, and the next bound is carried back over it, so
-    no pair is formed; ``bounds`` should be a small dimension table.
+    ``bounds`` is a small dimension; each bound owns the stretch from the one before it, and
+    keys find their stretch by the binned overlap join.
     """
-    both = df.select(F.col(key).alias("k"), F.lit(None).cast(dict(bounds.dtypes)[value]).alias("v"), F.lit(1).alias("side")).unionByName(bounds.select(F.col(bound).alias("k"), F.col(value).alias("v"), F.lit(0).alias("side")))
-    # A bound equal to a key is not above it, so it comes first.
-    w = Window.orderBy("k", "side").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn("found", F.first("v", ignorenulls=True).over(w)).filter("side = 1").select(F.col("k").alias(key), F.col("found").alias(value))
+    before = F.coalesce(F.lag(bound).over(Window.orderBy(bound)), F.lit(0))
+    owned = bounds.select(F.lit("").alias("contig"), before.alias("start_pos"), F.col(bound).alias("end_pos"), F.col(value)).filter("end_pos > start_pos")
+    points = df.withColumn("contig", F.lit("")).withColumn("start_pos", F.col(key)).withColumn("end_pos", F.col(key) + 1)
+    found = overlap_join(points, owned, "inner", width)
+    return found.select(*df.columns, F.col(value + "_b").alias(value))
