@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from readlake.llm.common import materialize
+from readlake.llm.common import BROADCAST_BYTES, materialize
 
 #: Lines of a window.
 WIDTH = 3
@@ -54,7 +54,10 @@ def repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def dedup_lines(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``documents`` with repeated lines gone from text, plus n_lines and n_removed."""
-    later = repeats(documents, width).select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h"), "_starts")
+    later = materialize(repeats(documents, width).select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h"), "_starts"), "line-repeats")
+    # Where the list of repeats is measured to be small, texts need no shuffle.
+    if (later.agg(F.sum(64 + 4 * F.size("_starts"))).first()[0] or 0) <= BROADCAST_BYTES:
+        later = F.broadcast(later)
     keyed = documents.withColumn("_x", F.xxhash64("text"))
     joined = keyed.join(later, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_h")), "left")
     # Covered places: the union of [start, start + width), as a distinct array of line numbers.
