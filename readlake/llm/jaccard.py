@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from readlake.llm import bytewise
-from readlake.llm.common import map_batches, materialize
+from readlake.llm.common import broadcast_if_small, map_batches, materialize
 from readlake.llm.components import components
 
 #: Entries of the table of frequent tokens, which orders tokens and is broadcast.
@@ -365,7 +365,8 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one document, of the smallest doc_id, of each component."""
     rows, comps = classes(documents, k, percent)
     rooted = rows.filter("n > 0").select("doc_id", "cls").join(comps, F.col("cls") == F.col("id"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("doc_id", "cls").alias("doc"))
-    kept = materialize(rooted.groupBy("root").agg(F.min("doc").alias("doc")).join(rows.filter("n > 0").groupBy("doc_id", "cls").agg(F.count("*").alias("rows")).withColumnsRenamed({"doc_id": "_d", "cls": "_c"}), F.col("doc.doc_id").eqNullSafe(F.col("_d")) & (F.col("doc.cls") == F.col("_c"))).select("_d", "_c", "rows"), "kept")
+    least = rooted.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("docs")).filter("docs > 1").drop("docs")
+    several = materialize(rooted.join(least, "root").groupBy("doc").agg(F.first(F.col("doc") == F.col("least")).alias("stays"), F.count("*").alias("rows")).select(F.col("doc.doc_id").alias("_d"), F.col("doc.cls").alias("_c"), "stays", "rows"), "near-copies")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -377,12 +378,14 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(cls)), pa.array(np.concatenate(n), pa.int64())], names=[*batch.schema.names, "_cls", "_n"])
 
     keyed = map_batches(documents, add, f"{kinds}, _cls bigint, _n bigint")
-    joined = keyed.join(kept, (F.col("_cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").filter("_n = 0 or rows is not null")
-    if kept.filter("rows > 1").limit(1).count():
+    same = (F.col("_cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    left = keyed.join(broadcast_if_small(several.filter("not stays"), 64), same, "left_anti")
+    twice = several.filter("stays and rows > 1")
+    if twice.limit(1).count():
         # Repeated rows of one doc_id and text: one of them stays.
-        once = joined.filter("_n > 0").dropDuplicates(["_cls", "doc_id"])
-        joined = once.union(joined.filter("_n = 0"))
-    return joined.select(documents.columns)
+        twice = broadcast_if_small(twice, 64)
+        left = left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["_cls", "doc_id"]))
+    return left.select(documents.columns)
 
 
 def brute_force(docs: list[tuple], k: int, percent: int) -> list[tuple]:
