@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes scanned at once; a longer single text is scanned alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +58,15 @@ def with_uid(df: DataFrame) -> DataFrame:
     return df.withColumn("_uid", F.monotonically_increasing_id())
 
 
+def release() -> None:
+    """Gives memory that a reused Python worker no longer needs back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, rows: int = 1 << 30) -> DataFrame:
     """``mapInArrow`` with a function of one batch, of at most ``rows`` rows."""
 
@@ -68,5 +78,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
                     yield out
                 else:
                     yield from out
+                del out
+            release()
 
     return df.mapInArrow(run, schema)

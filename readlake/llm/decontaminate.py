@@ -96,7 +96,7 @@ def mark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit
     out = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(WindowSet(block, window))
-        part = map_batches(docs, lambda batch, shared=shared: _mark(batch, shared.value), schema)
+        part = map_batches(docs, lambda batch, shared=shared: _mark(batch, shared.value), schema, 2000)
         out = part if out is None else out.unionByName(part)
     if len(blocks) > 1:
         names = [c for c in documents.columns]

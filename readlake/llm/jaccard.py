@@ -377,7 +377,7 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             n.append(np.diff(ptr))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(cls)), pa.array(np.concatenate(n), pa.int64())], names=[*batch.schema.names, "_cls", "_n"])
 
-    keyed = map_batches(documents, add, f"{kinds}, _cls bigint, _n bigint")
+    keyed = map_batches(documents, add, f"{kinds}, _cls bigint, _n bigint", 2000)
     same = (F.col("_cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     left = keyed.join(broadcast_if_small(several.filter("not stays"), 64), same, "left_anti")
     twice = several.filter("stays and rows > 1")

@@ -129,7 +129,7 @@ def spans(documents: DataFrame, base: dict[str, str] = BASE, templates: dict[str
     rows, known = _library(base, templates)
     lib = spark.createDataFrame(rows + [(_SENTINEL, -1, 0, 0)], "hash bigint, template int, t_pos bigint, k int")
     sizes = F.create_map(*[F.lit(x) for i, t in enumerate(known) for x in (i, len(t["words"]))])
-    profile = map_batches(with_uid(documents).select("_uid", "doc_id", "text"), _profile, "_uid bigint, doc_id bigint, n_words bigint, words array<bigint>, grams array<bigint>")
+    profile = map_batches(with_uid(documents).select("_uid", "doc_id", "text"), _profile, "_uid bigint, doc_id bigint, n_words bigint, words array<bigint>, grams array<bigint>", 2000)
     hits = (
         profile.select("_uid", "doc_id", "n_words", "words", F.posexplode("grams").alias("p", "hash"))
         .join(F.broadcast(lib), "hash")

@@ -114,7 +114,7 @@ def features(documents: DataFrame) -> DataFrame:
         ptr = np.arange(0, x.size + 1, x.shape[1])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), bytewise.list_array(x.ravel(), ptr, pa.float64())], names=[*rest, "x"])
 
-    found = map_batches(documents, run, f"{kinds}, x array<double>")
+    found = map_batches(documents, run, f"{kinds}, x array<double>", 2000)
     said = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return found.withColumn("fold", F.pmod(F.crc32(said.cast("binary")), F.lit(5)).cast("int"))
 
@@ -233,7 +233,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= cut))
 
-    return map_batches(documents, run, kinds)
+    return map_batches(documents, run, kinds, 2000)
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
