@@ -53,7 +53,8 @@ def repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def dedup_lines(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``documents`` with repeated lines gone from text, plus n_lines and n_removed."""
+    """``documents`` with repeated lines gone from text, and n_lines and n_removed, which
+    replace columns of these names."""
     later = materialize(repeats(documents, width).select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h"), "_starts"), "line-repeats")
     # Where the list of repeats is measured to be small, texts need no shuffle.
     if (later.agg(F.sum(64 + 4 * F.size("_starts"))).first()[0] or 0) <= BROADCAST_BYTES:
@@ -67,10 +68,10 @@ def dedup_lines(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     kept = F.when(F.size("_cover") == 0, F.col("text")).otherwise(
         F.array_join(F.filter("_all", lambda x, i: ~F.array_contains("_cover", i)), "\n")
     )
+    own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     return cut.select(
-        *[c for c in documents.columns if c != "text"], kept.alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("n_lines"), F.size("_cover").cast("long").alias("n_removed"),
-    ).select(*documents.columns, "n_lines", "n_removed")
+        *[kept.alias("text") if c == "text" else F.col(c) for c in own],
+        F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("n_lines"), F.size("_cover").cast("long").alias("n_removed"))
 
 
 def digest(documents: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -80,23 +80,26 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     return materialize(aims.join(cut, F.col("source").eqNullSafe(F.col("u")), "left").drop("u", "rest", "budget"), "mix-plan")
 
 
-def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``documents`` with size, source_size, target and taken."""
-    rows = broadcast_if_small(plan(documents, weights, most, seed).withColumnRenamed("source", "_s"), 160)
-    sized = documents.withColumn("size", size_of(F.col("text"))).withColumn("_key", key_of(F.col("doc_id"), seed))
-    joined = sized.join(rows, F.col("source").eqNullSafe(F.col("_s")), "left")
+def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, keep_names: bool = False) -> DataFrame:
+    """``documents`` with size, source_size, target and taken, which replace columns of these
+    names; with ``keep_names`` their names begin with ``_mix_`` instead."""
+    rows = plan(documents, weights, most, seed)
+    rows = broadcast_if_small(rows.select(*[F.col(c).alias("_p_" + c) for c in rows.columns]), 160)
+    sized = documents.withColumn("_size", size_of(F.col("text"))).withColumn("_key", key_of(F.col("doc_id"), seed))
+    joined = sized.join(rows, F.col("source").eqNullSafe(F.col("_p_source")), "left")
     # null doc_ids share one key and come first, as in the sort.
-    place, end = F.struct("_key", "doc_id", "size"), F.struct("cut_key", "cut_id", "cut_size")
-    part = F.when(F.col("cut_key").isNull() | (F.col("size") == 0), 0).when(place < end, F.col("size")).when(place == end, F.col("cut_part")).otherwise(0)
-    taken = F.coalesce(F.col("epochs") * F.col("size") + part, F.lit(0))
-    return joined.select(
-        *documents.columns, "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
+    place, end = F.struct("_key", "doc_id", "_size"), F.struct("_p_cut_key", "_p_cut_id", "_p_cut_size")
+    part = F.when(F.col("_p_cut_key").isNull() | (F.col("_size") == 0), 0).when(place < end, F.col("_size")).when(place == end, F.col("_p_cut_part")).otherwise(0)
+    taken = F.coalesce(F.col("_p_epochs") * F.col("_size") + part, F.lit(0))
+    new = {"size": F.col("_size"), "source_size": F.coalesce("_p_source_size", F.lit(0).cast("long")), "target": F.coalesce("_p_target", F.lit(0.0)), "taken": taken.cast("long")}
+    prefix = "_mix_" if keep_names else ""
+    return joined.select(*[c for c in documents.columns if prefix + c not in new or keep_names], *[c.alias(prefix + n) for n, c in new.items()])
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixed documents, with the columns of ``documents``: a document stands once for each
     time it is taken whole; one at which its source's budget ends comes with its first words."""
-    rows = allot(documents, weights, most, seed).filter("taken > 0").withColumn("_whole", F.floor(F.col("taken") / F.col("size"))).withColumn("_rest", F.col("taken") % F.col("size"))
+    rows = allot(documents, weights, most, seed, keep_names=True).filter("_mix_taken > 0").withColumn("_whole", F.floor(F.col("_mix_taken") / F.col("_mix_size"))).withColumn("_rest", F.col("_mix_taken") % F.col("_mix_size"))
     copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_rest").cast("int")), "")
     text = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(cut)
