@@ -33,7 +33,7 @@ def rows_of(rows, order):
 def test_query(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
     got = df.collect()
-    assert got
+    assert got or name in registry.ORACLE
     if name in registry.ORACLE:
         c = con.execute(registry.ORACLE[name])
         names = [d[0] for d in c.description]
