@@ -53,8 +53,8 @@ TEMPLATES = {
 K, K_BASE = 3, 2
 #: Diagonals at most this far apart merge.
 SLACK = 3
-#: Least share of a template's words in a verified span.
-LEAST = 0.85
+#: Least share of a template's words in a verified span; above 6 of 7, so that one word tells short notices apart.
+LEAST = 0.86
 #: Bound on the template positions, which are broadcast.
 MOST_GRAMS = 100_000
 
