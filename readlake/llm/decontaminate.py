@@ -208,3 +208,21 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
         ids = sorted(named)
         out.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
     return out
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The report as SQL, over whole tables.
+ORACLE = f"""
+with d as (select doc_id, row_number() over () as u, {_WORDS} as w from documents),
+i as (select distinct item_id, {_WORDS} as w from benchmark),
+g as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) as t
+      from (select item_id, w, least({WINDOW}, len(w)) as k from i where len(w) > 0)),
+x as (select u, k, unnest(range(1, len(w) - k + 2)) as p, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) as t
+      from d, (select distinct k from g) where len(w) >= k),
+h as (select x.u, x.p, x.k, g.item_id from x join g on g.k = x.k and g.t = x.t),
+c as (select u, count(distinct p) as n from (select u, unnest(range(p, p + k)) as p from h) group by u),
+n as (select u, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct u, item_id::varchar as item from h where item_id is not null) group by u)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(n.n, 0)::bigint as n_items, sha256(coalesce(n.items, '')) as items_sha256, c.n is not null as contaminated
+from d left join c on c.u = d.u left join n on n.u = d.u
+"""

@@ -411,3 +411,17 @@ def brute_force(docs: list[tuple], k: int, percent: int) -> list[tuple]:
     for i, (d, _) in enumerate(docs):
         least[top(i)] = min(least.get(top(i), d), d)
     return [(d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(docs)]
+
+
+#: ``cluster(documents, 4, 85)`` as SQL, over whole tables; all pairs that share a shingle are compared.
+ORACLE = r"""
+with recursive d as (select doc_id, row_number() over () as u,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct u, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda p: hash(array_to_string(w[p:p + 3], ' ')))) as t from d where len(w) > 0),
+n as (select u, count(*) as n from s group by u),
+l as (select p.a, p.b from (select x.u as a, y.u as b, count(*) as c from s x join s y on y.t = x.t and y.u <> x.u group by 1, 2) p
+  join n na on na.u = p.a join n nb on nb.u = p.b where 100 * p.c >= 85 * (na.n + nb.n - p.c)),
+r(u, c) as (select u, u from d union select r.u, l.b from r join l on l.a = r.c)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.doc_id as component_id
+from d left join n on n.u = d.u join (select r.u, min(e.doc_id) as doc_id from r join d e on e.u = r.c group by r.u) m on m.u = d.u
+"""
