@@ -93,3 +93,13 @@ def as_of(df: DataFrame, bounds: DataFrame, key: str, bound: str, value: str, wi
     points = df.withColumn("contig", F.lit("")).withColumn("start_pos", F.col(key)).withColumn("end_pos", F.col(key) + 1)
     found = overlap_join(points, owned, "inner", width)
     return found.select(*df.columns, F.col(value + "_b").alias(value))
+
+
+def locus_signatures(loci: DataFrame, points: DataFrame, width: int) -> DataFrame:
+    """contig, locus, pos, support: median and count of the points of each locus (contig, start_pos, end_pos)
+    within one bin of its fullest bin of ``width``, the first of equals."""
+    at = ["contig", "locus"]
+    inside = overlap_join(points, loci).select("contig", F.col("start_pos_b").alias("locus"), "start_pos", F.floor(F.col("start_pos") / width).alias("bin"))
+    fullest = inside.groupBy(*at, "bin").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))).alias("best"))
+    near = inside.join(fullest, at).filter(F.abs(F.col("bin") - F.col("best")) <= 1)
+    return near.groupBy(*at).agg(F.median("start_pos").alias("pos"), F.count("*").alias("support"))

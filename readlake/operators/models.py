@@ -73,3 +73,36 @@ def grid_search(df: DataFrame, rates: list[float], decays: list[float], steps: i
         return pd.DataFrame({"rate": [rate], "decay": [decay], "intercept": [round(w[0], 6)], "slope": [round(w[1], 6)], "loss": [round(loss, 6)]})
 
     return cells.crossJoin(F.broadcast(grid)).groupBy("rate", "decay").applyInPandas(fit, "rate double, decay double, intercept double, slope double, loss double")
+
+
+def linear_classes(x: np.ndarray) -> np.ndarray:
+    """The default for sequences (n, slices): three logits for each slice, from its value alone."""
+    return np.stack([np.full_like(x, 0.5), x, 1 - x], axis=-1)
+
+
+def score_sequences(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray] = linear_classes, slices: int = 20, batch: int = 8) -> DataFrame:
+    """Class probabilities of (key, values) sequences, cut or filled to ``slices``: key, slice, p0, p1, p2."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in range(0, len(rows), batch):
+                part = rows.iloc[i : i + batch]
+                x = np.zeros((len(part), slices))
+                for k, v in enumerate(part["values"]):
+                    x[k, : min(len(v), slices)] = v[:slices]
+                z = scorer(x)
+                e = np.exp(z - z.max(axis=-1, keepdims=True))
+                p = (e / e.sum(axis=-1, keepdims=True)).reshape(-1, 3)
+                yield pd.DataFrame({"key": np.repeat(part.key.to_numpy(), slices), "slice": np.tile(np.arange(slices), len(part)), "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2]})
+
+    return df.select("key", "values").mapInPandas(run, "key bigint, slice int, p0 double, p1 double, p2 double")
+
+
+def restore(saved: dict, wanted: list[str], prefixes: tuple[str, ...] = ("module.", "model.")) -> tuple[dict, list[str]]:
+    """Saved weights under the wanted names, wrappers' prefixes removed, and the names that are missing."""
+    plain = {}
+    for name, value in saved.items():
+        while (p := next((p for p in prefixes if name.startswith(p)), None)) and name not in wanted:
+            name = name[len(p) :]
+        plain[name] = value
+    return {n: plain[n] for n in wanted if n in plain}, [n for n in wanted if n not in plain]

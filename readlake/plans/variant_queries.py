@@ -210,8 +210,8 @@ def win_09_merge_half_calls(spark, sf_dir):
 
 @query()
 def win_10_segments(spark, sf_dir):
-    w = view(spark, sf_dir, "score_windows").filter("position < 2000000").select(F.col("chr").alias("contig"), F.col("position").alias("pos"), F.col("score").alias("value"))
-    return seq.segments(w, window=60)
+    w = view(spark, sf_dir, "score_windows").select(F.col("chr").alias("contig"), F.col("position").alias("pos"), F.col("score").alias("value"))
+    return seq.segments(w)
 
 
 @query()

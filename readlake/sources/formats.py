@@ -34,13 +34,44 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return normalise_candidates(spark.read.csv(path, header=True))
 
 
-def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """contig, start_pos, end_pos of a comma or tab separated file, with or without a header."""
+def parse_intervals(lines: DataFrame) -> DataFrame:
+    """contig, start_pos, end_pos of comma or tab separated text, with or without a header."""
     cut = F.split("value", "[,\t]")
-    rows = spark.read.text(path).select(cut[0].alias("contig"), F.expr("try_cast(split(value, '[,\\t]')[1] as bigint)").alias("start_pos"), F.expr("try_cast(split(value, '[,\\t]')[2] as bigint)").alias("end_pos"))
+    rows = lines.select(F.trim(cut[0]).alias("contig"), *[F.get(cut, F.lit(i)).try_cast("bigint").alias(n) for i, n in ((1, "start_pos"), (2, "end_pos"))])
     return rows.filter("start_pos is not null and end_pos is not null")
 
 
+def read_intervals(spark: SparkSession, path: str) -> DataFrame:
+    return parse_intervals(spark.read.text(path))
+
+
+def master_var(lines: DataFrame) -> DataFrame:
+    """Calls of a masterVar table (tab separated, one locus a line): contig, pos, ref, alt, qual, info, gt, gq.
+
+    Loci without call and reference loci are left out. Where the alleles differ in length each gets an N in
+    front; unknown alleles (``?``) are no call. Null alt where nothing is called."""
+    f = F.split("value", "\t")
+    at = lambda i: F.coalesce(F.get(f, F.lit(i)), F.lit(""))
+    num = lambda i: F.coalesce(at(i).try_cast("bigint"), F.lit(0).cast("bigint"))
+    rows = lines.filter(F.col("value").rlike("^[0-9]") & (F.size(f) >= 10)).filter((at(5) != "no-call") & (at(6) != "ref"))
+    uneven = (F.length(at(7)) != F.length(at(8))) | (F.length(at(7)) != F.length(at(9)))
+    allele = lambda i: F.when(uneven & (at(i) != "?"), F.concat(F.lit("N"), at(i))).otherwise(at(i))
+    rows = rows.select(at(2).alias("contig"), (num(3) + 1).alias("pos"), allele(7).alias("ref"), allele(8).alias("a"), allele(9).alias("b"),
+                       num(10).alias("qa"), num(11).alias("qb"), num(21).alias("da"), num(22).alias("db"), num(24).alias("dp"))
+    ref, a, b = F.col("ref"), F.col("a"), F.col("b")
+    has_a, has_b = a != "?", b != "?"
+    zero = F.lit(0).cast("bigint")
+    var_a, var_b = has_a & (a != ref), has_b & (b != ref)
+    ref_depth = F.when(has_a & (a == ref), F.col("da")).otherwise(zero) + F.when(has_b & (b == ref), F.col("db")).otherwise(zero)
+    alt_depth = F.when(var_a, F.col("da")).otherwise(zero) + F.when(var_b & (a != b), F.col("db")).otherwise(zero)
+    both = has_a & has_b
+    gt = F.when(~both, "./.").when((a == b) & (a == ref), "0/0").when(a == b, "1/1").when((a == ref) | (b == ref), "0/1").otherwise("1/2")
+    alt = F.when(~both, F.when(has_a, a).when(has_b, b)).when((a == b) & (a == ref), ".").when(a == b, a).when(a == ref, b).when(b == ref, a).otherwise(F.concat_ws(",", a, b))
+    info = F.format_string("DP=%d;CGDP2=%d,%d", F.col("dp"), ref_depth, alt_depth)
+    qual = F.greatest(F.when(var_a, F.col("qa")).otherwise(zero), F.when(var_b, F.col("qb")).otherwise(zero))
+    return rows.select("contig", "pos", "ref", alt.alias("alt"), qual.alias("qual"), info.alias("info"), gt.alias("gt"), F.least("qa", "qb").alias("gq"))
+
+
 def supplementary(reads: DataFrame) -> DataFrame:
     """One row for each entry of the ``sa`` text: rname, sa_pos, sa_strand, sa_cigar, sa_mapq, sa_nm."""
     rows = reads.withColumn("_e", F.explode(F.filter(F.split("sa", ";"), lambda x: x != ""))).withColumn("_p", F.split("_e", ","))
