@@ -31,9 +31,9 @@ def test_discover(spark):
 
 
 def test_pile(spark):
-    reads = spark.createDataFrame([("c", 1, 2, "2M2I2M"), ("c", 2, 3, "1M1D2M"), ("c", 3, 9, "3M")], "contig string, qname bigint, ref_start bigint, cigar string")
+    reads = spark.createDataFrame([("c", 1, 2, "2M2I2M"), ("c", 2, 3, "1M1D2M"), ("c", 3, 9, "3M"), ("c", 4, 7, "2M1D2M")], "contig string, qname bigint, ref_start bigint, cigar string")
     rows = {(r.qname, r.win): (r.lead, r.pile) for r in signals.padded_pile(reads, 10).collect()}
-    assert rows == {(1, 0): (2, "MMIIMM"), (2, 0): (3, "M--DMM"), (3, 0): (11, "M"), (3, 1): (0, "MM")}
+    assert rows == {(1, 0): (2, "MMIIMM"), (2, 0): (3, "M--DMM"), (3, 0): (11, "M"), (3, 1): (0, "MM"), (4, 0): (9, "MMD"), (4, 1): (0, "MM")}
     assert all(len(r.pile) == 200 for r in signals.column_rows(signals.padded_pile(reads, 10)).collect())
 
 
