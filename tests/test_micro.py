@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from readlake.functions import reads as fn, variants as vf
@@ -134,3 +135,21 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     json.dumps(e.oracle_sql())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_alignments_of_many_pairs():
+    rng = np.random.default_rng(7)
+    text = lambda most: "".join(rng.choice(list("acgé"), rng.integers(0, most)))
+    a, b = [text(14) for _ in range(300)], [text(40) for _ in range(300)]
+    for costs in ({}, {"gap_open": -2}, {"mismatch": 0, "gap_open": -1}):
+        assert [tuple(r) for r in seq.local_alignments(a, b, **costs)] == [seq.local_alignment(x, y, **costs) for x, y in zip(a, b, strict=True)]
+
+
+def test_alignment_of_all_chunks(spark):
+    from readlake.plans import registry
+    from readlake.sources.views import table
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["fn_05_local_alignment"](spark, sf).collect()
+    assert len(got) == table(spark, sf, "part").count()
+    assert all((r.score, r.hit_start, r.hit_end) == seq.local_alignment(r.clip, r.seq) for r in got)
