@@ -15,9 +15,10 @@ the targets add up to the whole, which has a closed form over sources ordered by
 size / weight.
 
 Defined results: null or blank text has size 0 and is never taken. A null source is a
-source. Rows that repeat doc_id, source and size are ties: they stand at one place, and
-where the budget ends among them each gets an equal part, rounded down. The plan has one
-row for each source.
+source, and so is one whose texts are all blank: it has target 0 and its turn of the weights.
+The SQL form skips such a source, so it differs where one comes before others. Rows that
+repeat doc_id, source and size are ties: they stand at one place, and where the budget ends
+among them each gets an equal part, rounded down. The plan has one row for each source.
 """
 
 from __future__ import annotations
@@ -66,8 +67,11 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     parts = placed.groupBy("source", "part").agg(F.sum("size").alias("subtotal"))
     sums = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = materialize(parts.withColumn("before", F.coalesce(F.sum("subtotal").over(sums), F.lit(0))), "mix-parts")
-    aims = targets(parts.groupBy("source").agg(F.sum("subtotal").alias("source_size")), weights, most)
-    aims = aims.withColumn("budget", F.floor("target")).withColumn("epochs", F.floor(F.col("budget") / F.col("source_size"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
+    # A source without words takes its place in the cycle of weights, too.
+    sizes = parts.select("source", "subtotal").union(documents.select("source").distinct().select("source", F.lit(0).cast("long")))
+    aims = targets(sizes.groupBy("source").agg(F.sum("subtotal").alias("source_size")), weights, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
+    aims = aims.withColumn("budget", F.floor("target")).withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     aims = materialize(aims, "mix-targets")
     last = parts.withColumnRenamed("source", "s").join(aims.select(F.col("source").alias("t"), "rest"), F.col("s").eqNullSafe(F.col("t"))).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("subtotal")))
     last = materialize(last.select("s", F.col("part").alias("p"), (F.col("rest") - F.col("before")).alias("rest")), "mix-last")

@@ -62,6 +62,17 @@ def test_mixing(spark, odd):
     assert {r.source: r.n for r in words} == {r.source: r.taken for r in plan}
 
 
+def test_mixing_blank_source(spark):
+    """A source without words keeps its turn of the weights 1, 2, 3."""
+    words = "w " * 100
+    rows = [(1, words, "a"), (2, " \n", "b"), (3, None, "b"), (4, words, "c"), (5, words, "d")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.source_size, r.target, r.taken) for r in mixing.allot(d).collect()}
+    assert got == {1: (100, 60.0, 60), 2: (0, 0.0, 0), 3: (0, 0.0, 0), 4: (100, 180.0, 180), 5: (100, 60.0, 60)}
+    blank = mixing.allot(d.filter("source = 'b'")).collect()
+    assert [(r.target, r.taken) for r in blank] == [(0.0, 0), (0.0, 0)] and mixing.mix(d.filter("source = 'b'")).count() == 0
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000, 4096, 4097):
         x = np.arange(n)
