@@ -12,7 +12,8 @@ source; one that does not come back identical (its texts hold control strings) i
 that is rendered at level 1, reparsed and compared again. Should that differ, the job
 fails rather than writing it.
 
-The loss mask holds the texts of turns whose role is ``assistant``.
+The loss mask is a list of spans (start, length) over ``formatted``, in characters from 0: the
+texts of turns whose role is ``assistant``, as they stand there, so escaped at level 1.
 
 Defined results: null text and null role are empty; turns are ordered by (turn, role, text)
 with nulls first, repeated rows stay as turns of their own, and a null conv_id is a
@@ -21,7 +22,7 @@ conversation. A conversation is one string, so its size is bounded by one Spark
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # The template's control strings.
 HEAD, ROLE, END, STOP = "### ", ": ", "</turn>", "</turn>\n"
@@ -45,6 +46,15 @@ def _plain(c: Column, role: bool) -> Column:
     return _swap(out, ("\\h## ", HEAD), ("\\l/turn>", END), ("\\b", "\\"))
 
 
+def _placed(rows: DataFrame, level: int) -> DataFrame:
+    """``rows`` with the span (start, length) of each text where ``level`` renders it."""
+    own = _escaped if level else (lambda c, role: c)
+    before, length = F.length(own(F.col("role"), True)) + len(HEAD) + len(ROLE), F.length(own(F.col("text"), False))
+    earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(before + length + len(STOP)).over(earlier), F.lit(0)) + len("<chat 0>\n") + before
+    return rows.withColumn(f"at{level}", F.struct(start.cast("int").alias("start"), length.alias("length")))
+
+
 def render(turns: Column, level: int) -> Column:
     """Text of an array of (role, text)."""
     own = _escaped if level else (lambda c, role: c)
@@ -68,11 +78,13 @@ def parse(cut: Column, level: int) -> Column:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, level, formatted, and ``turns`` as read back from it."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    """One row per conversation: conv_id, level, formatted, ``turns`` as read back from it, and ``loss``, the mask's spans."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    placed = _placed(_placed(conversations.select("conv_id", "turn", text("role"), text("text")), 0), 1)
+    mask = lambda level: F.transform(F.filter("rows", lambda t: t["role"] == "assistant"), lambda t: t[f"at{level}"]).alias(f"loss{level}")
     source = (
-        conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text("role").alias("role"), text("text").alias("text")))).alias("rows"))
-        .select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
+        placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "at0", "at1"))).alias("rows"))
+        .select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"), mask(0), mask(1))
     )
     tried = source.withColumn("f0", render(F.col("source"), 0)).withColumn("c0", pieces(F.col("f0"))).withColumn("p0", parse(F.col("c0"), 0))
     ok = F.coalesce(F.col("p0") == F.col("source"), F.lit(False))
@@ -83,14 +95,20 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return read.select(
         "conv_id", "level", "formatted",
         F.when(same, F.col("turns")).otherwise(F.raise_error(F.lit("a conversation did not come back identical"))).alias("turns"),
+        F.when(F.col("level") == 0, F.col("loss0")).otherwise(F.col("loss1")).alias("loss"),
     )
 
 
+def under_mask() -> Column:
+    """The texts under the mask, cut from ``formatted`` and unescaped."""
+    cut = F.transform("loss", lambda s: F.substr(F.col("formatted"), s["start"] + 1, s["length"]))
+    return F.when(F.col("level") == 0, cut).otherwise(F.transform(cut, lambda t: _plain(t, False)))
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return formatted.withColumn("loss", loss).select(
+    return formatted.withColumn("loss", F.array_join(under_mask(), "")).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -235,6 +235,16 @@ def test_chat(spark):
     assert chat_format.digest(chat_format.format_conversations(c.limit(0))).count() == 0
 
 
+def test_chat_loss_mask(spark):
+    """Spans over the formatted text hold what the assistant said and nothing else, escaped where the text is."""
+    rows = [(1, 0, "user", "q é"), (1, 1, "assistant", "é plain"), (1, 2, "assistant", ""), (2, 0, "us: er", "x"), (2, 1, "assistant", "a ### b\\"), (2, 1, "assistant", "a ### b\\"), (3, None, "assistant", "first"), (3, 0, "user", "no"), (4, 0, None, None)]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    cut = {r.conv_id: [r.formatted[s.start : s.start + s.length] for s in r.loss] for r in out.collect()}
+    assert cut == {1: ["é plain", ""], 2: ["a \\h## b\\b"] * 2, 3: ["first"], 4: []}
+    said = {r.conv_id: r.said for r in out.select("conv_id", chat_format.under_mask().alias("said")).collect()}
+    assert said == {1: ["é plain", ""], 2: ["a ### b\\"] * 2, 3: ["first"], 4: []}
+
+
 def test_line_dedup(spark, odd):
     got = {(r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(odd).collect()}
     assert {(1, 3, 0), (2, 3, 3), (3, 0, 0), (4, 1, 0), (8, 9, 6)} <= got
