@@ -52,4 +52,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_token_output, op4_katz_backoff, op5_ngram_jaccard, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_chat_format, op10_line_dedup)}
-ORACLE = {"op2_source_mixing": mixing.ORACLE, "op5_ngram_jaccard": jaccard.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op9_chat_format": chat_format.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLE = {"op2_source_mixing": mixing.ORACLE, "op5_ngram_jaccard": jaccard.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op9_chat_format": chat_format.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
