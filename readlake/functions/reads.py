@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def col(c) -> Column:
@@ -54,6 +54,44 @@ def strand(flag) -> Column:
     return F.when(col(flag).bitwiseAND(16) != 0, 1).otherwise(2)
 
 
+def bit(flag, b: int) -> Column:
+    return col(flag).bitwiseAND(b) != 0
+
+
+def mapped(flag) -> Column:
+    return ~bit(flag, 4)
+
+
+def proper_inward(flag, start, mate_start) -> Column:
+    """First reads of proper pairs (both mapped, no duplicate, primary) whose strands point at each other."""
+    flags = bit(flag, 2) & bit(flag, 1) & bit(flag, 64) & mapped(flag) & ~bit(flag, 8) & ~bit(flag, 1024) & ~bit(flag, 256) & ~bit(flag, 2048)
+    reverse, mate_reverse = bit(flag, 16), bit(flag, 32)
+    return flags & (((col(start) < col(mate_start)) & ~reverse & mate_reverse) | ((col(start) > col(mate_start)) & reverse & ~mate_reverse))
+
+
+def usable_pair(flag, mapq, tlen, start, mate_start, least: int = 9) -> Column:
+    """The left reads of mapped pairs that are no duplicates."""
+    return bit(flag, 1) & mapped(flag) & ~bit(flag, 8) & ~bit(flag, 1024) & (col(mapq) >= least) & (col(tlen) != 0) & (col(start) < col(mate_start))
+
+
+def usable_split(flag, mapq, contig, mate_contig, least: int = 20) -> Column:
+    """Mapped proper reads that are no duplicates, with their mates on one contig."""
+    return mapped(flag) & ~bit(flag, 1024) & (col(mapq) >= least) & bit(flag, 2) & (col(contig) == col(mate_contig))
+
+
+def soft_clip(cigar, start, end, seq=None, least: int = 5) -> Column:
+    """Struct side, n, anchor (and clip_seq) of a read's clip: the last operation if it is S, else the first; null without."""
+    ops = cigar_ops(cigar)
+    last, first = F.element_at(ops, -1), F.get(ops, F.lit(0))
+    right, left = (last["op"] == "S") & (last["n"] >= least), (first["op"] == "S") & (first["n"] >= least)
+
+    def told(side: str, n: Column, anchor) -> Column:
+        cut = () if seq is None else ((F.substr(col(seq), (-n).cast("int")) if side == "right" else F.substr(col(seq), F.lit(1), n.cast("int"))).alias("clip_seq"),)
+        return F.struct(F.lit(side).alias("side"), n.alias("n"), col(anchor).alias("anchor"), *cut)
+
+    return F.when(right, told("right", last["n"], end)).when(left, told("left", first["n"], start))
+
+
 def signed_log(x) -> Column:
     return F.signum(col(x)) * F.log1p(F.abs(col(x)))
 
@@ -100,6 +138,16 @@ def scaled_grey(value, most) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(255 * col(value) / most))).cast("long")
 
 
+def grey_levels(base, gc, proper, mapq, mapq_mean, op, base_qual, pair, reverse, insert, same, clip, variant) -> list[Column]:
+    """The twelve levels of a base of a pile: base, GC level, proper pair, mapping quality, operation (0 M, 1 I, 2 D, 4 S), base
+    quality, pair orientation, strand, insert class, equal to the reference, clip signal, length variant."""
+    cut = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), c))
+    named = lambda c, values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in values.items() for x in p]), col(c)), F.lit(other))
+    yes = lambda c: F.when(col(c), 120).otherwise(240)
+    return [base_grey(base), cut(col(gc)), yes(proper), cut(F.floor(255 * col(mapq) / F.greatest(col(mapq_mean), F.lit(1)))), named(op, {0: 60, 1: 120, 2: 180, 4: 240}, 60), cut(F.floor(255 * col(base_qual) / 40)),
+            named(pair, {"LR": 80, "LLRR": 240, "RL": 160}, 80), yes(reverse), named(insert, {1: 240, 2: 160, 0: 80}, 80), yes(same), cut(col(clip)), F.when(col(variant), 240).otherwise(120)]
+
+
 def code_grey(code) -> Column:
     """Codes 0, 1, 2 as 80, 160, 240."""
     return 80 * (col(code) + 1)
@@ -109,9 +157,24 @@ def flag_grey(b) -> Column:
     return F.when(col(b), 240).otherwise(120)
 
 
-def clip_score(n_clipped, parity: bool = False, depth=None) -> Column:
-    """Clip signal: share of clipped reads; in parity mode the floored quarter of a negative sum, which never shows."""
-    return F.floor(-col(n_clipped) * 4 / 4.0 / 4) if parity else F.try_divide(col(n_clipped).cast("double"), col(depth))
+# Numbers of the CIGAR operations.
+OP_CODES = {"M": 0, "I": 1, "D": 2, "N": 3, "S": 4, "H": 5, "P": 6, "=": 7, "X": 8}
+
+
+def clip_scores(reads: DataFrame) -> DataFrame:
+    """contig, pos, clips (reads that are clipped there), parity: the floored quarter of the sum of the negative
+    operation numbers, in which a read reaches from its first base, clips included, over as many positions as it
+    has bases, and every operation moves on."""
+    walk = F.aggregate(
+        cigar_ops("cigar"), F.struct(F.array().cast("array<struct<op:string,a:bigint,n:bigint>>").alias("out"), F.lit(0).cast("bigint").alias("p")),
+        lambda a, x: F.struct(F.concat(a["out"], F.array(F.struct(x["op"].alias("op"), a["p"].alias("a"), x["n"].alias("n")))).alias("out"), (a["p"] + x["n"]).alias("p")), lambda a: a["out"])
+    first = F.get(cigar_ops("cigar"), F.lit(0))
+    begin = F.col("ref_start") - F.when(first["op"].isin("S", "I"), first["n"]).otherwise(0)
+    seg = reads.select("contig", begin.alias("b"), span("cigar", "MIS=X").alias("len"), F.inline(F.filter(walk, lambda x: x["op"] != "M")))
+    upto = F.least(F.col("a") + F.col("n"), F.col("len"))
+    code = F.element_at(F.create_map(*[F.lit(x) for p in OP_CODES.items() for x in p]), F.col("op"))
+    at = seg.filter(upto > F.col("a")).select("contig", "op", code.alias("code"), F.explode(F.sequence(F.col("b") + F.col("a"), F.col("b") + upto - 1)).alias("pos"))
+    return at.groupBy("contig", "pos").agg(F.count_if(F.col("op") == "S").alias("clips"), F.floor(-F.sum("code") / 4).cast("long").alias("parity"))
 
 
 def contig_key(contig) -> Column:

@@ -6,17 +6,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Width of the bins of the overlap join.
 BIN = 1024
+#: Positions of a contig that one task sorts where a running value is needed.
+SPAN = 1 << 16
+
+
+def spans(df: DataFrame, keys: list[str], start: str, *aggs: Column) -> tuple[DataFrame, Column]:
+    """(keys, _span and aggregates of each stretch of ``SPAN`` positions), and the window over a key's stretches before one.
+
+    Running values need no sort of whole contigs: stretches run alone, and what earlier ones hand on comes from this
+    table, of a row for each stretch that has rows."""
+    return df.groupBy(*keys, "_span").agg(*aggs), Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def islands(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", gap: int | None = None) -> DataFrame:
-    """``df`` with ``island``: a running number of merged stretches in each key.
+    """``df`` with ``island``: the start of the merged stretch that a row is in.
 
-    Touching intervals are apart; with ``gap`` stretches at most so far from each other merge.
+    Touching intervals are apart; with ``gap`` stretches at most so far from each other merge. An empty interval is in
+    the stretch that starts where it does.
     """
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    joins = F.col(start) < before if gap is None else F.col(start) - before <= gap
-    return df.withColumn("island", F.sum(F.when(joins, 0).otherwise(1)).over(w))
+    keys = list(keys)
+    b = df.withColumn("_span", F.floor(F.col(start) / SPAN))
+    most, before = spans(b, keys, start, F.max(end).alias("_m"))
+    own = b.join(most.select(*keys, "_span", F.max("_m").over(before).alias("_carry")), [*keys, "_span"])
+    w = Window.partitionBy(*keys, "_span").orderBy(start, end)
+    reach = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    joins = F.col(start) < reach if gap is None else F.col(start) - reach <= gap
+    marked = own.withColumn("_new", F.when(joins, F.lit(None)).otherwise(F.col(start))).drop("_carry")
+    last, before = spans(marked, keys, start, F.max("_new").alias("_l"))
+    out = marked.withColumn("island", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(last.select(*keys, "_span", F.max("_l").over(before).alias("_from")), [*keys, "_span"])
+    return out.withColumn("island", F.coalesce("island", "_from")).select(*df.columns, "island")
 
 
 def merge(df: DataFrame, keys: list[str] = ("contig",), *aggs: Column) -> DataFrame:
@@ -35,7 +53,11 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", width: int = BI
     if how in ("semi", "anti", "flag"):
         # Hits go by coordinates: row numbers could differ between two evaluations of ``a``.
         at = ["contig", "start_pos", "end_pos"]
-        hit = overlap_join(a.select(*at).distinct(), b.select(*at), "inner", width, pad).select(*at).distinct()
+        left = a.select(*at).distinct().withColumn("_bin", bins(F.col("start_pos") - pad, F.col("end_pos") + pad))
+        right = b.select(F.col("contig").alias("_c"), F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e")).distinct().withColumn("_b", bins(F.col("_s"), F.col("_e")))
+        # A semi join stops at the first partner, so pairs are not made.
+        meet = (F.col("start_pos") - pad < F.col("_e")) & (F.col("end_pos") + pad > F.col("_s"))
+        hit = left.join(right, (F.col("contig") == F.col("_c")) & (F.col("_bin") == F.col("_b")) & meet, "left_semi").select(*at).distinct()
         if how == "flag":
             return a.join(hit.withColumn("hit", F.lit(True)), at, "left").withColumn("hit", F.coalesce("hit", F.lit(False))).select(*a.columns, "hit")
         return a.join(hit, at, "left_semi" if how == "semi" else "left_anti").select(*a.columns)
@@ -103,3 +125,12 @@ def locus_signatures(loci: DataFrame, points: DataFrame, width: int) -> DataFram
     fullest = inside.groupBy(*at, "bin").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))).alias("best"))
     near = inside.join(fullest, at).filter(F.abs(F.col("bin") - F.col("best")) <= 1)
     return near.groupBy(*at).agg(F.median("start_pos").alias("pos"), F.count("*").alias("support"))
+
+
+def mode_bin(df: DataFrame, keys: list[str], pos: str, size: str, width: int = 20) -> DataFrame:
+    """keys, pos, size (medians, cut to integers) of the rows within one bin of the fullest bin, the first of equals, and its
+    support (rows of that bin)."""
+    b = df.withColumn("_bin", F.floor(F.col(pos) / width))
+    best = b.groupBy(*keys, "_bin").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.max_by("_bin", F.struct(F.col("_n"), -F.col("_bin"))).alias("_best"), F.max("_n").alias("support"))
+    near = b.join(best, keys).filter(F.abs(F.col("_bin") - F.col("_best")) <= 1)
+    return near.groupBy(*keys, "support").agg(F.floor(F.median(pos)).cast("bigint").alias("pos"), F.floor(F.median(size)).cast("bigint").alias("size")).select(*keys, "pos", "size", "support")

@@ -81,7 +81,11 @@ def linear_classes(x: np.ndarray) -> np.ndarray:
 
 
 def score_sequences(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray] = linear_classes, slices: int = 20, batch: int = 8) -> DataFrame:
-    """Class probabilities of (key, values) sequences, cut or filled to ``slices``: key, slice, p0, p1, p2."""
+    """Class probabilities of (key, values) sequences in blocks of ``slices``, the last one filled with 0: key, block, slice, p0,
+    p1, p2. A sequence without values is one block of zeros."""
+
+    n = F.greatest(F.ceil(F.size("values") / slices), F.lit(1))
+    blocks = df.select("key", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("block"), "values").withColumn("values", F.slice("values", F.col("block") * slices + 1, F.lit(slices)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -89,13 +93,13 @@ def score_sequences(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray] =
                 part = rows.iloc[i : i + batch]
                 x = np.zeros((len(part), slices))
                 for k, v in enumerate(part["values"]):
-                    x[k, : min(len(v), slices)] = v[:slices]
+                    x[k, : len(v)] = v
                 z = scorer(x)
                 e = np.exp(z - z.max(axis=-1, keepdims=True))
                 p = (e / e.sum(axis=-1, keepdims=True)).reshape(-1, 3)
-                yield pd.DataFrame({"key": np.repeat(part.key.to_numpy(), slices), "slice": np.tile(np.arange(slices), len(part)), "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2]})
+                yield pd.DataFrame({"key": np.repeat(part.key.to_numpy(), slices), "block": np.repeat(part.block.to_numpy(), slices), "slice": np.tile(np.arange(slices), len(part)), "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2]})
 
-    return df.select("key", "values").mapInPandas(run, "key bigint, slice int, p0 double, p1 double, p2 double")
+    return blocks.select("key", "block", "values").mapInPandas(run, "key bigint, block int, slice int, p0 double, p1 double, p2 double")
 
 
 def restore(saved: dict, wanted: list[str], prefixes: tuple[str, ...] = ("module.", "model.")) -> tuple[dict, list[str]]:

@@ -51,6 +51,17 @@ def largest_cluster(df: DataFrame, keys: list[str], value: str, gap: int = 3) ->
     return best.filter((F.col("b.n") > 1) | (F.col("total") <= 3)).select(*keys, F.col("b.mid").alias("mid"), F.col("b.n").alias("n"))
 
 
+def ranked_by_contig(df: DataFrame, start: str) -> DataFrame:
+    """``df`` with ``place``: the dense rank by (contig key, ``start``), first within a contig, then
+    after the places of the contigs before it, so that no task sorts all rows."""
+    from readlake.functions.reads import contig_key
+
+    own = df.withColumn("_k", contig_key("contig")).withColumn("_r", F.dense_rank().over(Window.partitionBy("_k").orderBy(start)))
+    sizes = own.groupBy("_k").agg(F.max("_r").alias("_n"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return own.join(before, "_k").withColumn("place", (F.col("_b") + F.col("_r")).cast("long")).drop("_k", "_r", "_b")
+
+
 def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Precision, recall and F1 of each class."""
     both = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))

@@ -49,13 +49,20 @@ def smooth(df: DataFrame, keys: list[str], order: str, value: str, sigma: float)
     w = Window.partitionBy(*keys).orderBy(order)
     i, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*keys))
     kernel = gaussian(sigma)
-    every = F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    reach = len(kernel) - 1
+    # What stands ``j`` rows away; a mirrored place is at most 2 * reach away.
+    away = {j: F.lag(value, -j).over(w) if j < 0 else F.lead(value, j).over(w) for j in range(-2 * reach, 2 * reach + 1)}
+
+    def at(place: Column) -> Column:
+        out = F.lit(None)
+        for j, v in away.items():
+            out = F.when(place == i + j, v).otherwise(out)
+        return out
+
     out = F.col(value) * kernel[0]
     for k, weight in enumerate(kernel[1:], 1):
         lower, upper = i - k, i + k
-        left = F.get(every, F.when(lower >= 1, lower - 1).otherwise(-lower).cast("int"))
-        right = F.get(every, F.when(upper <= n, upper - 1).otherwise(2 * n - upper).cast("int"))
-        out = out + weight * (left + right)
+        out = out + weight * (at(F.when(lower >= 1, lower).otherwise(1 - lower)) + at(F.when(upper <= n, upper).otherwise(2 * n + 1 - upper)))
     return out
 
 
@@ -65,7 +72,43 @@ def average_rank(keys: list[str], value: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
 
 
-def top_share(df: DataFrame, value: str, share: float = 0.9) -> DataFrame:
-    """Rows at or above an exact percentile (linear interpolation)."""
-    cut = df.agg(F.percentile(value, F.lit(share)).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).filter(F.col(value) >= F.col("_cut")).drop("_cut")
+def top_share(df: DataFrame, value: str, share: float = 0.9, accuracy: int = 10_000) -> DataFrame:
+    """Rows at or above an exact percentile (linear interpolation).
+
+    A quantile sketch brackets it to a few parts in ``accuracy`` of the rows; the exact place is then found among the
+    distinct values of the bracket, so no task holds those of all rows."""
+    low, high = max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)
+    v = F.col(value).cast("double")
+    found = df.agg(F.count(value).alias("_n"), F.approx_percentile(v, [low, high], accuracy).alias("_q")).select("_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    near = df.crossJoin(F.broadcast(found))
+    below = near.agg(F.count_if(v < F.col("_lo")).alias("_below"))
+    inside = near.filter((v >= F.col("_lo")) & (v <= F.col("_hi"))).groupBy(v.alias("_v")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    past = inside.crossJoin(F.broadcast(below)).withColumn("_past", F.col("_below") + F.sum("_c").over(Window.orderBy("_v"))).withColumn("_place", (F.col("_n") - 1) * share)
+    at = lambda k: F.min(F.when(F.col("_past") > k, F.col("_v")))
+    place = F.col("_place")
+    cut = past.agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"), F.max(place - F.floor(place)).alias("_part")).select((F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).filter(v >= F.col("_cut")).drop("_cut")
+
+
+def slice_labels(df: DataFrame, keys: list[str], order: str, gone: str, more: str, low: float = 0.40, anchor: float = 0.70, least: int = 2, cut: float = 0.85, sure: float = 0.92, most: int = 10) -> DataFrame:
+    """keys, ``order``, label: 1 in runs of ``gone`` above ``low``, of ``least`` rows at least, that reach ``anchor``; 2 at the first
+    largest row of runs of ``more`` above ``cut`` of at most ``most`` rows, if none of them is 1 or it is above ``sure``."""
+    every = df.select(*keys, order, gone, more)
+    w = Window.partitionBy(*keys).orderBy(order)
+    run = lambda c, at: F.row_number().over(w) - F.row_number().over(Window.partitionBy(*keys, F.col(c) > at).orderBy(order))
+    marked = every.withColumn("_r", run(gone, low)).withColumn("_q", run(more, cut))
+    own = Window.partitionBy(*keys, "_r", F.col(gone) > low)
+    lost = (F.col(gone) > low) & (F.count("*").over(own) >= least) & (F.max(gone).over(own) >= anchor)
+    marked = marked.withColumn("_lost", lost)
+    narrow = Window.partitionBy(*keys, "_q", F.col(more) > cut)
+    first = F.row_number().over(narrow.orderBy(F.desc(more), order)) == 1
+    peak = first & (F.col(more) > cut) & (F.count("*").over(narrow) <= most) & (~F.bool_or("_lost").over(narrow) | (F.max(more).over(narrow) > sure))
+    return marked.withColumn("label", F.when(peak, 2).when(F.col("_lost"), 1).otherwise(0)).select(*keys, order, "label")
+
+
+def tiled(pixels: DataFrame, side: int = 256) -> DataFrame:
+    """(channel, y, x) of images of ``side`` as plane, y, x: four channels make a plane of two by two tiles, of which the lower two
+    are upside down."""
+    tile = F.col("channel") % 4
+    y = F.when(tile >= 2, 2 * side - 1 - F.col("y")).otherwise(F.col("y"))
+    return pixels.withColumn("plane", F.floor(F.col("channel") / 4).cast("int")).withColumn("y", y).withColumn("x", F.col("x") + F.when(tile % 2 == 1, side).otherwise(0))

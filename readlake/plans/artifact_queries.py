@@ -44,12 +44,12 @@ def src_22_missing_files(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).join(table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), "name", "left_anti")
 
 
-@query("select contig, count(*) as n, sum(tlen)::BIGINT as tlen from reads where contig in ('chr1', 'chr3') group by contig")
+@query("select contig, count(*) as n, sum(tlen)::BIGINT as tlen from reads group by contig")
 def snk_01_blocks(spark, sf_dir):
-    """Blocks written by contig; two contigs' folders are read back."""
+    """Blocks written by contig and read back."""
     path = sinks.scratch(spark, "blocks")
     sinks.write_blocks(view(spark, sf_dir, "reads"), path)
-    return spark.read.parquet(path).filter(F.col("contig").isin("chr1", "chr3")).groupBy("contig").agg(F.count("*").alias("n"), F.sum("tlen").alias("tlen"))
+    return spark.read.parquet(path).groupBy("contig").agg(F.count("*").alias("n"), F.sum("tlen").alias("tlen"))
 
 
 @query("select round(avg(mapq), 6) as mapq, round(avg(tlen), 6) as tlen from reads")
@@ -104,8 +104,10 @@ def _regions(spark, sf_dir):
 
 @query("select chr, (i // 100)::BIGINT as batch, count(*) as n, count(*) = 100 as whole, min(position) as first from (select *, row_number() over (partition by chr order by position) - 1 as i from score_windows) group by 1, 2")
 def snk_16_batches(spark, sf_dir):
-    """Windows of a contig in batches of 100, and a tail."""
-    w = view(spark, sf_dir, "score_windows").withColumn("i", F.row_number().over(Window.partitionBy("chr").orderBy("position")) - 1)
+    """Windows of a contig written in batches of 100 and a tail, and read again by batch."""
+    path = sinks.scratch(spark, "batches")
+    sinks.write_batches(view(spark, sf_dir, "score_windows"), path, "chr", "position")
+    w = spark.read.parquet(path).withColumn("i", F.col("batch") * 100)
     return w.groupBy("chr", F.floor(F.col("i") / 100).alias("batch")).agg(F.count("*").alias("n"), (F.count("*") == 100).alias("whole"), F.min("position").alias("first"))
 
 
@@ -133,7 +135,7 @@ def agg_03_signal_clusters(spark, sf_dir):
     """Long indels and split reads together, clustered."""
     r = view(spark, sf_dir, "reads").withColumn("cigar", F.regexp_replace("cigar", "M(\\d+)D", "M2$1D"))
     at = signals.ends("cigar")
-    parts = r.filter("mapq > 50").select("contig", "qname", "ref_end", (F.col("ref_end") + F.col("tlen")).alias("sa_start"), at["end"].alias("read_end"), (at["end"] + F.col("tlen") * (F.col("flag") % 2)).alias("sa_read_start"))
+    parts = r.select("contig", "qname", "ref_end", (F.col("ref_end") + F.col("tlen")).alias("sa_start"), at["end"].alias("read_end"), (at["end"] + F.col("tlen") * (F.col("flag") % 2)).alias("sa_read_start"))
     return signals.discover(r, parts)
 
 
@@ -202,10 +204,10 @@ def srt_03_read_priority(spark, sf_dir):
     return view(spark, sf_dir, "reads").select("qname", "ref_start", "contig", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query("""with s as (select cand, list(least(idx % 100, 50) / 50.0 order by idx) as v from labels_seq group by cand), x as (select cand, i::INT as i, coalesce(v[i + 1], 0.0)::DOUBLE as x from s, (select unnest(range(20)) as i)),
- e as (select cand, i, exp(0.5) as a, exp(x) as b, exp(1 - x) as c from x) select cand as key, i as slice, round(a / (a + b + c), 6) as p0, round(b / (a + b + c), 6) as p1, round(c / (a + b + c), 6) as p2 from e""")
+@query("""with s as (select cand, list(least(idx % 100, 50) / 50.0 order by idx) as v from labels_seq group by cand), k as (select *, unnest(range(0, (len(v) + 19) // 20)) as k from s), x as (select cand, k::INT as k, i::INT as i, coalesce(v[k * 20 + i + 1], 0.0)::DOUBLE as x from k, (select unnest(range(20)) as i)),
+ e as (select cand, k, i, exp(0.5) as a, exp(x) as b, exp(1 - x) as c from x) select cand as key, k as block, i as slice, round(a / (a + b + c), 6) as p0, round(b / (a + b + c), 6) as p1, round(c / (a + b + c), 6) as p2 from e""")
 def udf_02_sequence_scorer(spark, sf_dir):
-    """Class probabilities of 20 slices of each sequence by the default scorer."""
+    """Class probabilities of all values of each sequence, 20 slices at a time, by the default scorer."""
     seq = view(spark, sf_dir, "labels_seq").groupBy(F.col("cand").alias("key")).agg(F.array_sort(F.collect_list(F.struct("idx", (F.least(F.col("idx") % 100, F.lit(50)) / 50.0).cast("double").alias("v")))).alias("s"))
     got = models.score_sequences(seq.select("key", F.transform("s", lambda x: x["v"]).alias("values")))
-    return got.select("key", "slice", *[F.round(p, 6).alias(p) for p in ("p0", "p1", "p2")])
+    return got.select("key", "block", "slice", *[F.round(p, 6).alias(p) for p in ("p0", "p1", "p2")])

@@ -22,11 +22,6 @@ def dec_01_verdict(spark, sf_dir):
 _LEN = "select contig, pos, case when qual % 3 = 0 then ref_len * 100 end as sr, case when qual % 2 = 0 then alt_len * 90 end as dp, ref_len as known from variants"
 
 
-@query(f"select contig, pos, coalesce(sr, dp, known)::BIGINT as length, case when sr is not null then 'SR' when dp is not null then 'DP' end as evidence, case when sr is not null then false when dp is not null then true end as imprecise from ({_LEN})")
-def dec_02_deletion_length(spark, sf_dir):
-    v = view(spark, sf_dir, "variants").select("contig", "pos", F.when(F.col("qual") % 3 == 0, F.col("ref_len") * 100).alias("sr"), F.when(F.col("qual") % 2 == 0, F.col("alt_len") * 90).alias("dp"), F.col("ref_len").alias("known"))
-    return v.select("contig", "pos", *decide.deletion_length("sr", "dp", "known"))
-
 
 @query("select contig, start_pos, (case when qual % 2 = 0 then 'DEL' else 'INS' end) as svtype, (case when qual % 2 = 0 then start_pos - end_pos else greatest(end_pos - start_pos, 50) end)::BIGINT as svlen, (case when qual % 2 = 0 then end_pos else start_pos + 1 end)::BIGINT as stop from bed_a")
 def dec_03_call_fields(spark, sf_dir):
@@ -35,12 +30,6 @@ def dec_03_call_fields(spark, sf_dir):
     return view(spark, sf_dir, "bed_a").select("contig", "start_pos", F.when(gone, "DEL").otherwise("INS").alias("svtype"), F.when(gone, -n).otherwise(F.greatest(n, F.lit(50))).alias("svlen"), F.when(gone, F.col("end_pos")).otherwise(F.col("start_pos") + 1).alias("stop"))
 
 
-@query("with r as (select contig, pos, max(ref_len * 100) as sr from variants where qual % 3 = 0 group by contig, pos) select v.contig, v.pos, case when v.alt_len = 1 then coalesce(r.sr, v.ref_len) else v.ref_len end as length from variants v left join r on r.contig = v.contig and r.pos = v.pos")
-def dec_04_pass_through(spark, sf_dir):
-    v = view(spark, sf_dir, "variants")
-    r = v.filter("qual % 3 = 0").groupBy("contig", "pos").agg(F.max(F.col("ref_len") * 100).alias("sr"))
-    return v.join(r, ["contig", "pos"], "left").select("contig", "pos", F.when(F.col("alt_len") == 1, F.coalesce("sr", "ref_len")).otherwise(F.col("ref_len")).alias("length"))
-
 
 @query("with r as (select o_orderkey as idx, o_custkey % 40 as found from orders where o_custkey % 3 = 0) select o.o_orderkey as idx, r.found from orders o left join r on r.idx = o.o_orderkey")
 def jn_12_refined_lookup(spark, sf_dir):
@@ -49,15 +38,6 @@ def jn_12_refined_lookup(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("idx")).join(r, "idx", "left")
 
 
-@query("with s as (select qname, ref_start, contig, ref_start + 500 as sa_start, flag, mapq from reads where mapq > 50) select contig, qname, ref_start, mapq, sa_start - ref_start as gap from s where flag & 16 <> 0")
-def jn_09_split_reads(spark, sf_dir):
-    from readlake.sources.formats import supplementary
-
-    sa = F.concat("contig", F.lit(","), (F.col("ref_start") + 500).cast("string"), F.when(F.col("qname") % 2 == 0, ",-,").otherwise(",-,"), F.lit("9M,60,0;"))
-    s = supplementary(view(spark, sf_dir, "reads").filter("mapq > 50").withColumn("sa", sa))
-    own = F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")
-    return s.filter((F.col("rname") == F.col("contig")) & (F.col("sa_strand") == own)).select("contig", "qname", "ref_start", "mapq", (F.col("sa_pos") - F.col("ref_start")).alias("gap"))
-
 
 @query("select event_type, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2")
 def str_01_event_hours(spark, sf_dir):

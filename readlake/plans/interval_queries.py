@@ -122,13 +122,6 @@ def jn_10_sample_as_of(spark, sf_dir):
     return iv.as_of(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), bounds, "id", "cum", "sample")
 
 
-@query("""select v.contig, v.pos, v.qual, coalesce(h.run, 0)::BIGINT as run from variants v left join (select contig, chunk_id * 7 + 1 as pos, max(length(seq))::BIGINT as run from chunks group by contig, chunk_id) h
- on h.contig = v.contig and h.pos = v.pos and v.alt_len <> v.ref_len""")
-def jn_11_homopolymer_lookup(spark, sf_dir):
-    h = view(spark, sf_dir, "chunks").groupBy(F.col("contig").alias("c"), (F.col("chunk_id") * 7 + 1).alias("p")).agg(F.max(F.length("seq")).cast("long").alias("run"))
-    v = view(spark, sf_dir, "variants")
-    return v.join(h, (F.col("c") == F.col("contig")) & (F.col("p") == F.col("pos")) & (F.col("alt_len") != F.col("ref_len")), "left").select("contig", "pos", "qual", F.coalesce("run", F.lit(0)).cast("long").alias("run"))
-
 
 @query("""with s as (select c_custkey, c_mktsegment from customer), wanted as (select unnest(['MACHINERY', 'NOTHING', 'BUILDING']) as name, unnest([0, 1, 2]) as place)
  select w.place, w.name, count(*) as n from wanted w join s on s.c_mktsegment = w.name group by w.place, w.name""")
@@ -162,11 +155,3 @@ def win_02_hysteresis(spark, sf_dir):
     from readlake.operators.windows import hysteresis
 
     return hysteresis(view(spark, sf_dir, "score_windows"), ["chr"], "position", "score", 40, 70, 2)
-
-
-@query("""with r as (select *, row_number() over (partition by chr order by position) - row_number() over (partition by chr, score > 30 order by position) as run from score_windows)
- select chr, arg_max(position, score * 1e9 - position) as position, max(score) as best, count(*) as width from r where score > 30 group by chr, run having count(*) <= 10""")
-def win_03_peak(spark, sf_dir):
-    from readlake.operators.windows import peaks
-
-    return peaks(view(spark, sf_dir, "score_windows"), ["chr"], "position", "score", 30, 10)

@@ -34,18 +34,18 @@ def src_04_header_contigs(spark, sf_dir):
     return header_contigs(lines.union(spark.createDataFrame([("@HD\tVN:1.6",)], "value string")))
 
 
-_COVER = "select contig, unnest(range(ref_start, ref_end)) as pos from reads where contig in ('chr1', 'chr3')"
+_COVER = "select contig, unnest(range(ref_start, ref_end)) as pos from reads"
 
 
-@query(f"select contig, pos, least(count(*), 3)::BIGINT as depth from ({_COVER} and flag & 256 = 0 and mapq >= 13) group by contig, pos")
+@query(f"select contig, pos, least(count(*), 8000)::BIGINT as depth from ({_COVER} where flag & 256 = 0 and mapq >= 13) group by contig, pos")
 def src_05_pileup_columns(spark, sf_dir):
-    r = view(spark, sf_dir, "reads").filter("contig in ('chr1', 'chr3') and (flag & 256) = 0 and mapq >= 13")
-    return pileup.depth(r, 3)
+    r = view(spark, sf_dir, "reads").filter("(flag & 256) = 0 and mapq >= 13")
+    return pileup.depth(r, 8000)
 
 
-@query("select b.contig, b.start_pos, b.end_pos, count(r.qname) as n from (select distinct contig, start_pos, end_pos from bed_b where start_pos < 20000) b left join reads r on r.contig = b.contig and r.ref_start < b.end_pos and r.ref_end > b.start_pos group by all")
+@query("select b.contig, b.start_pos, b.end_pos, count(r.qname) as n from (select distinct contig, start_pos, end_pos from bed_b) b left join reads r on r.contig = b.contig and r.ref_start < b.end_pos and r.ref_end > b.start_pos group by all")
 def src_06_region_count(spark, sf_dir):
-    b = view(spark, sf_dir, "bed_b").filter("start_pos < 20000").distinct()
+    b = view(spark, sf_dir, "bed_b").distinct()
     r = view(spark, sf_dir, "reads").select("contig", F.col("ref_start").alias("start_pos"), F.col("ref_end").alias("end_pos"), "qname")
     n = iv.overlap_join(b, r).groupBy("contig", "start_pos", "end_pos").agg(F.count("*").alias("n"))
     return b.join(n, ["contig", "start_pos", "end_pos"], "left").select("contig", "start_pos", "end_pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -53,12 +53,18 @@ def src_06_region_count(spark, sf_dir):
 
 @query(f"select contig, pos, count(*) as depth from ({_COVER}) group by contig, pos")
 def src_07_base_coverage(spark, sf_dir):
-    return pileup.depth(view(spark, sf_dir, "reads").filter("contig in ('chr1', 'chr3')"))
+    return pileup.depth(view(spark, sf_dir, "reads"))
 
 
-@query("select contig, chunk_id * 50 as start_pos, substring(seq, 11, 20) as bases from chunks where chunk_id % 3 = 0")
+@query("""with t as (select distinct contig, start_pos, end_pos from bed_a), k as (select *, unnest(range(start_pos // 50, (end_pos - 1) // 50 + 1)) as chunk_id from t),
+ s as (select k.contig, k.start_pos, k.end_pos, string_agg(rpad(coalesce(c.seq, ''), 50, 'n'), '' order by k.chunk_id) as seq from k left join chunks c on c.contig = k.contig and c.chunk_id = k.chunk_id group by all)
+ select contig, start_pos, end_pos, substring(seq, start_pos % 50 + 1, end_pos - start_pos) as bases from s""")
 def src_08_sequence_fetch(spark, sf_dir):
-    return view(spark, sf_dir, "chunks").filter("chunk_id % 3 = 0").select("contig", (F.col("chunk_id") * 50).alias("start_pos"), F.substring("seq", 11, 20).alias("bases"))
+    """Reference text of intervals, from a sequence that is kept in chunks."""
+    from readlake.operators import signals
+
+    at = view(spark, sf_dir, "bed_a").select("contig", F.col("start_pos").alias("first"), F.col("end_pos").alias("past")).distinct()
+    return signals.fetch(at, view(spark, sf_dir, "chunks"), 50).select("contig", F.col("first").alias("start_pos"), F.col("past").alias("end_pos"), F.col("seq").alias("bases"))
 
 
 @query("select chr as chrom, position as start_pos, position + 1000 as end_pos from score_windows where position > 0 and score > 5")
@@ -76,9 +82,9 @@ def src_11_labels_default(spark, sf_dir):
     return r.groupBy("contig", F.coalesce("label", F.lit(0)).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("select chr as contig, position as start_pos, position + 1000 as end_pos from score_windows where score > 90")
+@query("select chr as contig, position as start_pos, position + 1000 as end_pos from score_windows")
 def src_17_candidate_ranges(spark, sf_dir):
-    return view(spark, sf_dir, "score_windows").filter("score > 90").select(F.col("chr").alias("contig"), F.col("position").alias("start_pos"), (F.col("position") + 1000).alias("end_pos"))
+    return view(spark, sf_dir, "score_windows").select(F.col("chr").alias("contig"), F.col("position").alias("start_pos"), (F.col("position") + 1000).alias("end_pos"))
 
 
 @query("select doc_id, sha256(text) as digest from documents")
@@ -91,12 +97,12 @@ def src_19_json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("select qname, ref_start, contig as rname, ref_start + 500 as sa_pos, case when flag & 16 <> 0 then '+' else '-' end as sa_strand from reads where mapq > 55 union all select qname, ref_start, 'chr9', ref_start + 7, '-' from reads where mapq > 55")
+@query("select qname, ref_start, contig as rname, ref_start + 500 as sa_pos, case when flag & 16 <> 0 then '+' else '-' end as sa_strand from reads union all select qname, ref_start, 'chr9', ref_start + 7, '-' from reads")
 def src_20_supplementary_tags(spark, sf_dir):
     from readlake.sources.formats import supplementary
 
     sa = F.concat("contig", F.lit(","), (F.col("ref_start") + 500).cast("string"), F.when(F.col("flag").bitwiseAND(16) != 0, ",+,").otherwise(",-,"), F.col("cigar"), F.lit(",60,0;chr9,"), (F.col("ref_start") + 7).cast("string"), F.lit(",-,5M,60,1;"))
-    return supplementary(view(spark, sf_dir, "reads").filter("mapq > 55").withColumn("sa", sa)).select("qname", "ref_start", "rname", "sa_pos", "sa_strand")
+    return supplementary(view(spark, sf_dir, "reads").withColumn("sa", sa)).select("qname", "ref_start", "rname", "sa_pos", "sa_strand")
 
 
 _OPS = "select *, regexp_extract_all(cigar, '\\d+[MIDNSHP=X]') as ops from reads"
@@ -108,10 +114,6 @@ def prj_01_cigar_spans(spark, sf_dir):
     return view(spark, sf_dir, "reads").select("qname", "ref_start", "mapq", fn.span("cigar", "MDN=X").alias("ref_len"), fn.span("cigar", "MIS=X").alias("read_len"))
 
 
-@query("select qname, ref_start, mapq, unnest(range(ref_start + mapq - 10, ref_start + mapq - 10 + length(regexp_extract(md, '[A-Z]+')))) as pos, 'D' as kind from reads where contig = 'chr4'")
-def prj_02_md_positions(spark, sf_dir):
-    return view(spark, sf_dir, "reads").filter("contig = 'chr4'").select("qname", "ref_start", "mapq", F.inline(fn.md_walk("md", F.col("ref_start"))))
-
 
 @query("select qname, ref_start, case when flag & 16 <> 0 then 1 else 2 end as strand from reads")
 def prj_03_strand(spark, sf_dir):
@@ -155,11 +157,11 @@ def prj_09_insert_class(spark, sf_dir):
     return r.crossJoin(F.broadcast(stats)).select("qname", "ref_start", "tlen", fn.insert_class("tlen", "m", "s").alias("class"))
 
 
-@query("select qname, ref_start, case when ref_start + 30 < ref_start + q then 'M' when ref_start + 30 < ref_start + q + d then 'D' when ref_start + 30 < ref_start + 2 * q + d then 'M' end as op from (select qname, ref_start, mapq - 10 as q, ref_end - ref_start - 2 * (mapq - 10) as d from reads where contig = 'chr5')")
+@query("select qname, ref_start, case when ref_start + 30 < ref_start + q then 'M' when ref_start + 30 < ref_start + q + d then 'D' when ref_start + 30 < ref_start + 2 * q + d then 'M' end as op from (select qname, ref_start, mapq - 10 as q, ref_end - ref_start - 2 * (mapq - 10) as d from reads)")
 def prj_10_op_at_position(spark, sf_dir):
     walk = fn.cigar_walk("cigar", F.col("ref_start"))
     at = F.get(F.filter(walk, lambda s: s["op"].isin("M", "D", "N") & (s["ref_pos"] <= F.col("ref_start") + 30) & (s["ref_pos"] + s["n"] > F.col("ref_start") + 30)), F.lit(0))
-    return view(spark, sf_dir, "reads").filter("contig = 'chr5'").select("qname", "ref_start", at["op"].alias("op"))
+    return view(spark, sf_dir, "reads").select("qname", "ref_start", at["op"].alias("op"))
 
 
 @query("select qname, ref_start, mapq, abs(tlen - (ref_end - ref_start)) / (ref_end - ref_start) >= 0.1 as variant from reads")
@@ -167,29 +169,9 @@ def prj_11_length_variant(spark, sf_dir):
     return view(spark, sf_dir, "reads").select("qname", "ref_start", "mapq", fn.length_variant("tlen", F.col("ref_end") - F.col("ref_start")).alias("variant"))
 
 
-@query("""select doc_id, case upper(substring(seq, 1, 1)) when 'A' then 60 when 'T' then 120 when 'C' then 180 when 'G' then 240 else 0 end as base,
- greatest(0, least(255, floor(255 * length(seq) / 400.0)))::BIGINT as level, 80 * (doc_id % 3 + 1) as code, case when doc_id % 2 = 0 then 240 else 120 end as flag from texts""")
-def prj_12_grey_levels(spark, sf_dir):
-    return view(spark, sf_dir, "texts").select("doc_id", fn.base_grey(F.substring("seq", 1, 1)).alias("base"), fn.scaled_grey(F.length("seq"), 400.0).alias("level"), fn.code_grey(F.col("doc_id") % 3).alias("code"), fn.flag_grey(F.col("doc_id") % 2 == 0).alias("flag"))
-
-
-@query("select contig, chunk_id, substring(seq, 1, 1) = 's' as same, substring(seq, 2, 1) = upper(substring(seq, 2, 1)) as upper from chunks")
-def prj_13_equals_reference(spark, sf_dir):
-    return view(spark, sf_dir, "chunks").select("contig", "chunk_id", (F.substring("seq", 1, 1) == "s").alias("same"), (F.substring("seq", 2, 1) == F.upper(F.substring("seq", 2, 1))).alias("upper"))
-
 
-@query("select contig, ref_start as pos, round(count(*) filter (where mapq > 40) / count(*)::DOUBLE, 6) as clip_share, floor(-(count(*) filter (where mapq > 40)) / 4.0)::BIGINT as parity from reads group by contig, ref_start")
-def prj_14_clip_score(spark, sf_dir):
-    g = view(spark, sf_dir, "reads").groupBy("contig", F.col("ref_start").alias("pos")).agg(F.count_if(F.col("mapq") > 40).alias("k"), F.count("*").alias("n"))
-    return g.select("contig", "pos", F.round(fn.clip_score("k", depth="n"), 6).alias("clip_share"), fn.clip_score("k", parity=True).alias("parity"))
 
 
-@query("select contig, regexp_replace(contig, '^chr', '') as plain, case when contig like 'chr%' then contig else 'chr' || contig end as prefixed from (select distinct contig from reads)")
-def prj_15_contig_alias(spark, sf_dir):
-    from readlake.sources.formats import contig_aliases
-
-    return contig_aliases(view(spark, sf_dir, "reads").select("contig").distinct())
-
 
 @query("select distinct contig, regexp_replace(contig, '^chr', '')::INT as key from reads")
 def prj_16_contig_key(spark, sf_dir):
@@ -201,50 +183,26 @@ def prj_17_artifact_name(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", fn.artifact_name("event_type", F.col("event_id") * 1000).alias("name"))
 
 
-@query("select qname, ref_start, mapq, regexp_extract(cigar, '^(\\d+)S', 1)::BIGINT as clip, ref_start as anchor from reads where regexp_extract(cigar, '^(\\d+)S', 1)::BIGINT >= 5")
-def prj_18_soft_clip(spark, sf_dir):
-    first = F.get(fn.cigar_ops("cigar"), F.lit(0))
-    r = view(spark, sf_dir, "reads").withColumn("x", first)
-    return r.filter((F.col("x.op") == "S") & (F.col("x.n") >= 5)).select("qname", "ref_start", "mapq", F.col("x.n").alias("clip"), F.col("ref_start").alias("anchor"))
-
 
 @query("select qname, ref_start, case when abs(tlen) >= 50 and abs(tlen) < 200 then '50-200' when abs(tlen) >= 200 and abs(tlen) < 700 then '200-700' when abs(tlen) >= 700 and abs(tlen) < 1000 then '700-1000' when abs(tlen) >= 1000 then '>=1000' else 'other' end as size from reads")
 def prj_27_size_class(spark, sf_dir):
     return view(spark, sf_dir, "reads").select("qname", "ref_start", fn.size_class("tlen").alias("size"))
 
 
-@query("select qname, ref_start, mapq, i as op_idx, (ref_start + case i when 1 then 0 when 2 then mapq - 10 else ref_end - ref_start - (mapq - 10) end)::BIGINT as pos from reads, (select unnest([1, 2, 3]) as i) where contig = 'chr2'")
+@query("select qname, ref_start, mapq, i as op_idx, (ref_start + case i when 1 then 0 when 2 then mapq - 10 else ref_end - ref_start - (mapq - 10) end)::BIGINT as pos from reads, (select unnest([1, 2, 3]) as i)")
 def prj_29_reference_offsets(spark, sf_dir):
-    ops = view(spark, sf_dir, "reads").filter("contig = 'chr2'").select("qname", "ref_start", "mapq", F.posexplode(fn.cigar_walk("cigar", F.col("ref_start"))).alias("i", "s"))
+    ops = view(spark, sf_dir, "reads").select("qname", "ref_start", "mapq", F.posexplode(fn.cigar_walk("cigar", F.col("ref_start"))).alias("i", "s"))
     return ops.filter("s.op <> 'S'").select("qname", "ref_start", "mapq", F.col("i").alias("op_idx"), F.col("s.ref_pos").alias("pos"))
 
 
-@query("select contig, count(*) as n, case when count(*) >= 1000 then round(count(*) / 1000.0, 1)::VARCHAR || 'k' else count(*)::VARCHAR end as text from reads group by contig")
-def prj_31_human_counts(spark, sf_dir):
-    n = F.col("n")
-    return view(spark, sf_dir, "reads").groupBy("contig").agg(F.count("*").alias("n")).withColumn("text", F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(n.cast("string")))
-
 
 @query("select qname, ref_start, mapq from reads where flag & 256 = 0 and ref_end > ref_start")
 def flt_01_primary_reads(spark, sf_dir):
     return view(spark, sf_dir, "reads").filter((F.col("flag").bitwiseAND(256) == 0) & (F.col("ref_end") > F.col("ref_start"))).select("qname", "ref_start", "mapq")
 
 
-@query("select qname, ref_start, mapq from reads where flag & 2 <> 0 and flag & 256 = 0 and flag & 16 = 0")
-def flt_02_proper_pairs(spark, sf_dir):
-    bit = lambda b: F.col("flag").bitwiseAND(b) != 0
-    return view(spark, sf_dir, "reads").filter(bit(2) & ~bit(256) & ~bit(16)).select("qname", "ref_start", "mapq")
 
 
-@query("select qname, ref_start, mapq from reads where mapq >= 19 and tlen <> 0 and tlen > 250 and flag & 256 = 0")
-def flt_03_read_pairs(spark, sf_dir):
-    return view(spark, sf_dir, "reads").filter("mapq >= 19 and tlen <> 0 and tlen > 250 and (flag & 256) = 0").select("qname", "ref_start", "mapq")
-
-
-@query("select qname, ref_start, mapq from reads where mapq >= 20 and flag & 2 <> 0")
-def flt_04_split_reads(spark, sf_dir):
-    return view(spark, sf_dir, "reads").filter("mapq >= 20 and (flag & 2) <> 0").select("qname", "ref_start", "mapq")
-
 
 @query("select contig, (ref_start // 1000) * 1000 as win, sum(case when flag & 16 <> 0 then mapq - 30 else 0 end)::BIGINT as total from reads group by 1, 2 having sum(case when flag & 16 <> 0 then mapq - 30 else 0 end) <> 0")
 def flt_05_nonzero_windows(spark, sf_dir):
@@ -260,8 +218,7 @@ def flt_06_contigs(spark, sf_dir):
 
 @query("select cand, count(*) as n from labels_seq group by cand having max(label) > 0")
 def flt_07_all_zero(spark, sf_dir):
-    g = view(spark, sf_dir, "labels_seq").groupBy("cand").agg(F.collect_list("label").alias("labels"))
-    return g.filter(F.exists("labels", lambda x: x != 0)).select("cand", F.size("labels").cast("long").alias("n"))
+    return view(spark, sf_dir, "labels_seq").groupBy("cand").agg(F.count("*").alias("n"), F.max("label").alias("most")).filter("most <> 0").drop("most")
 
 
 @query("select contig, start_pos, (qual % 4)::INT as label from bed_a where qual % 4 in (1, 2)")
@@ -277,21 +234,20 @@ def flt_10_region_guards(spark, sf_dir):
     return region_status(view(spark, sf_dir, "reads").groupBy("contig").agg(F.sum(F.col("ref_end") - F.col("ref_start")).alias("bases")), 10_000, 700_000)
 
 
-_RANKED = "select *, row_number() over (partition by contig order by mapq desc, qname, ref_start, ref_end, tlen, cigar) as rank from reads where contig = 'chr1'"
+_RANKED = "select *, row_number() over (partition by contig order by mapq desc, qname, ref_start, ref_end, tlen, cigar) as rank from reads"
 
 
 @query(f"""with r as ({_RANKED}), s as (
   select contig, rank, 'C' as kind, ref_start as pos, regexp_extract(cigar, '^(\\d+)S', 1)::BIGINT as size from r
   union all select contig, rank, 'D', ref_start + mapq - 10, ref_end - ref_start - 2 * (mapq - 10) from r
   union all select contig, rank, 'B', unnest(range(ref_start + mapq - 10, ref_end - (mapq - 10))), 1 from r
- ), k as (select s.*, (select count(*) from r x where x.rank < s.rank and x.ref_start <= s.pos and x.ref_end > s.pos) as before from s),
- d as (select pos, count(*) as depth from (select unnest(range(ref_start, ref_end)) as pos from r) group by pos)
+ ), k as (select s.*, (select count(*) from r x where x.contig = s.contig and x.rank < s.rank and x.ref_start <= s.pos and x.ref_end > s.pos) as before from s),
+ d as (select contig, pos, count(*) as depth from (select contig, unnest(range(ref_start, ref_end)) as pos from r) group by contig, pos)
  select k.contig, k.pos, 0::BIGINT as mismatches, count(*) filter (where kind = 'B') as deleted, count(*) filter (where kind = 'C') as clips, 0::BIGINT as insertions, 0::BIGINT as ins_sum, 0::BIGINT as ins_max,
    coalesce(sum(size) filter (where kind = 'D'), 0)::BIGINT as del_sum, coalesce(max(size) filter (where kind = 'D'), 0)::BIGINT as del_max, coalesce(max(d.depth), 0)::BIGINT as depth
- from k left join d on d.pos = k.pos where before < 20 group by k.contig, k.pos""")
+ from k left join d on d.contig = k.contig and d.pos = k.pos where before < 20 group by k.contig, k.pos""")
 def agg_01_site_channels(spark, sf_dir):
-    r = view(spark, sf_dir, "reads").filter("contig = 'chr1'")
-    return pileup.site_channels(r, [F.desc("mapq"), "qname", "ref_start", "ref_end", "tlen", "cigar"], 20)
+    return pileup.site_channels(view(spark, sf_dir, "reads"), [(-F.col("mapq")).alias("mapq"), "qname", "ref_start", "ref_end", "tlen", "cigar"], 20)
 
 
 @query("select contig, pos, round(s / (k + 1e-20), 6) as del_mean from (select contig, ref_start as pos, sum(ref_end - ref_start)::BIGINT as s, count(*) as k from reads group by contig, ref_start)")
@@ -326,11 +282,6 @@ def agg_07_alignment_stats(spark, sf_dir):
     return alignment_stats(view(spark, sf_dir, "reads"), 100_000)
 
 
-@query("select median(tlen) as mid, round(stddev_pop(tlen), 6) as sd from reads where tlen < 2000 and mapq > 20 and flag & 2 <> 0")
-def agg_08_robust_insert(spark, sf_dir):
-    r = view(spark, sf_dir, "reads").filter("tlen < 2000 and mapq > 20 and (flag & 2) <> 0")
-    return r.agg(F.median("tlen").alias("mid"), F.round(F.stddev_pop("tlen"), 6).alias("sd"))
-
 
 @query("select r.contig, count(*) as n from (select contig, mapq, quantile_cont(mapq, 0.33) over (partition by contig) as cut from reads) r where mapq > greatest(cut, 1.0) group by r.contig")
 def agg_10_support(spark, sf_dir):
@@ -339,25 +290,11 @@ def agg_10_support(spark, sf_dir):
     return support(view(spark, sf_dir, "reads"), ["contig"], "mapq")
 
 
-@query("select contig, round((0.65 * count(*) filter (where flag & 16 <> 0) + 1.15 * count(*) filter (where mapq > 30))::DOUBLE, 6) as del_score, round((0.65 * count(*) filter (where flag & 2 <> 0) + 1.15 * count(*) filter (where mapq > 30))::DOUBLE, 6) as ins_score from reads group by contig")
-def agg_11_weighted_evidence(spark, sf_dir):
-    from readlake.operators.decide import weighted
-
-    g = view(spark, sf_dir, "reads").groupBy("contig").agg(F.count_if(F.col("flag").bitwiseAND(16) != 0).alias("a"), F.count_if(F.col("flag").bitwiseAND(2) != 0).alias("b"), F.count_if(F.col("mapq") > 30).alias("c"))
-    return g.select("contig", F.round(weighted("a", "c"), 6).alias("del_score"), F.round(weighted("b", "c"), 6).alias("ins_score"))
-
-
-@query("""with s as (select avg(tlen) as m, stddev_pop(tlen) as d from reads), f as (select *, row_number() over (partition by qname order by ref_start, ref_end, mapq, tlen) as i from reads)
- select contig, round(sum(case when tlen > m + 0.5 * d then 1.0 when tlen < m - 0.5 * d then 0.8 else 0 end)::DOUBLE, 6) as abnormal, count(*) as total from f cross join s where i = 1 group by contig""")
-def agg_12_discordant_pairs(spark, sf_dir):
-    from readlake.operators.stats import discordant
-
-    return discordant(view(spark, sf_dir, "reads"), 0.5)
 
 
-@query("select contig, start_pos, slice, start_pos + slice * 50 as slice_start, start_pos + slice * 50 + 50 as slice_end from (select contig, start_pos from bed_b where start_pos < 30000), (select unnest(range(0, 20))::INT as slice)")
+@query("select contig, start_pos, slice, start_pos + slice * 50 as slice_start, start_pos + slice * 50 + 50 as slice_end from (select contig, start_pos from bed_b), (select unnest(range(0, 20))::INT as slice)")
 def win_06_slices(spark, sf_dir):
-    return win.slices(view(spark, sf_dir, "bed_b").filter("start_pos < 30000").select("contig", "start_pos"), "start_pos")
+    return win.slices(view(spark, sf_dir, "bed_b").select("contig", "start_pos"), "start_pos")
 
 
 @query("select contig, unnest(range(0, greatest(length, 1), 5000)) as start_pos, case when unnest(range(0, greatest(length, 1), 5000)) + 5000 > length then length + 10000 else unnest(range(0, greatest(length, 1), 5000)) + 5000 end as end_pos from (select contig, max(ref_end) as length from reads group by contig)")

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from readlake.plans import artifact_queries, decisions, interval_queries, read_queries, statistic_queries, variant_queries  # noqa: E402, F401
+from readlake.plans import artifact_queries, call_queries, decisions, detail_queries, evidence_queries, interval_queries, read_queries, statistic_queries, variant_queries  # noqa: E402, F401

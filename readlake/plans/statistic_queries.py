@@ -15,19 +15,13 @@ def agg_16_histogram(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("""with k as (select contig, ref_start % 97 as v from reads where contig <> 'chr5'), q as (select *, lag(v) over (partition by contig order by v) as before from (select distinct contig, v * 3 % 211 as v from k)), m as (select contig, v, sum(case when v - before <= 1 then 0 else 1 end) over (partition by contig order by v) as c from q),
- g as (select contig, c, count(*) as n, median(v) as mid from m group by contig, c), b as (select contig, arg_max(mid, n * 1000000 - c) as mid, max(n) as n, sum(n) as total from g group by contig)
+@query("""with q as (select contig, ref_start as v, lag(ref_start) over (partition by contig order by ref_start) as before from reads), m as (select contig, v, sum(case when v - before <= 3 then 0 else 1 end) over (partition by contig order by v rows unbounded preceding) as c from q),
+ g as (select contig, c, count(*) as n, median(v) as mid from m group by contig, c), b as (select contig, arg_max(mid, n * 1000000000 - c) as mid, max(n) as n, sum(n) as total from g group by contig)
  select contig, mid, n from b where n > 1 or total <= 3""")
 def agg_15_largest_cluster(spark, sf_dir):
-    v = view(spark, sf_dir, "reads").filter("contig <> 'chr5'").select("contig", (F.col("ref_start") % 97 * 3 % 211).alias("v")).distinct()
-    return stats.largest_cluster(v, ["contig"], "v", 1)
+    return stats.largest_cluster(view(spark, sf_dir, "reads"), ["contig"], "ref_start")
 
 
-@query("select contig, arg_max(bin * 20, n * 100000000 - bin) as pos, max(n) as support from (select contig, ref_start // 20 as bin, count(*) as n from reads group by 1, 2) group by contig")
-def agg_19_mode_bin(spark, sf_dir):
-    b = view(spark, sf_dir, "reads").groupBy("contig", F.floor(F.col("ref_start") / 20).alias("bin")).agg(F.count("*").alias("n"))
-    return b.groupBy("contig").agg((F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))) * 20).alias("pos"), F.max("n").alias("support"))
-
 
 @query("""with x as (select (case when value > 50 then 1 else 0 end)::INT as p, (case when event_type = 'error' then 1 else 0 end)::INT as t from events),
  m as (select c.c as class, count(*) filter (where t = c.c and p = c.c) as tp, count(*) filter (where t = c.c) as nt, count(*) filter (where p = c.c) as np from x, (select unnest([0, 1]) as c) c group by c.c)
@@ -45,11 +39,6 @@ def agg_21_threshold_search(spark, sf_dir):
     return stats.best_threshold(e, "s", "t")
 
 
-@query("select event_type, round(100.0 * count(*) filter (where value < 5) / count(*)::DOUBLE, 6) as fnr, round(100.0 * count(*) filter (where value > 60) / count(*)::DOUBLE, 6) as fdr from events group by event_type")
-def agg_24_error_rates(spark, sf_dir):
-    share = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(share(F.col("value") < 5).alias("fnr"), share(F.col("value") > 60).alias("fdr"))
-
 
 @query("select event_type as status, count(*) as n from events group by event_type")
 def agg_25_status_counts(spark, sf_dir):
@@ -61,13 +50,6 @@ def agg_14_run_summary(spark, sf_dir):
     return view(spark, sf_dir, "evidence").groupBy(F.when(F.col("raw_support") >= 5, "KEEP").otherwise("DROP").alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query("""select contig, case when count(*) filter (where mapq > 55 and flag & 16 <> 0) > 0 then 'VERIFIED' when count(*) filter (where mapq <= 30) / count(*)::DOUBLE > 0.35 then 'REF' else 'AMBIGUOUS' end as status,
-  max(qname) filter (where mapq > 55 and flag & 16 <> 0) as last_hit from (select *, contig || (qname % 7)::VARCHAR as c from reads) group by contig""")
-def agg_13_assembly_evidence(spark, sf_dir):
-    hit = (F.col("mapq") > 55) & (F.col("flag").bitwiseAND(16) != 0)
-    g = view(spark, sf_dir, "reads").groupBy("contig").agg(F.bool_or(hit).alias("hit"), (F.count_if(F.col("mapq") <= 30) / F.count("*")).alias("clean"), F.max(F.when(hit, F.col("qname"))).alias("last_hit"))
-    return g.select("contig", F.when(F.col("hit"), "VERIFIED").when(F.col("clean") > 0.35, "REF").otherwise("AMBIGUOUS").alias("status"), "last_hit")
-
 
 _SCORES = "select event_id, value / 100 as a, (event_id % 7) / 7.0::DOUBLE as b, (user_id % 5) / 5.0::DOUBLE as c from events"
 
@@ -94,11 +76,6 @@ def win_10_average_rank(spark, sf_dir):
     return view(spark, sf_dir, "score_windows").select("chr", "position", win.average_rank(["chr"], "score").alias("r"))
 
 
-@query("select user_id, event_id, (event_id % 256)::BIGINT as x, (case when event_id % 512 >= 256 then 511 - event_id % 256 else event_id % 256 end)::BIGINT as y from events")
-def win_05_tiled_coordinates(spark, sf_dir):
-    e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", (e % 256).alias("x"), F.when(e % 512 >= 256, 511 - e % 256).otherwise(e % 256).alias("y"))
-
 
 @query("select contig, ref_start // 200 as win, qname, ref_start, mapq, i from (select *, row_number() over (partition by contig, ref_start // 200 order by mapq desc, qname, ref_start, tlen, ref_end) as i from reads) where i <= 18")
 def top_04_rows_per_window(spark, sf_dir):
@@ -113,10 +90,9 @@ def top_05_largest_group(spark, sf_dir):
     return g.groupBy("event_type").agg(F.max_by("user_id", F.struct(F.col("n"), -F.col("user_id"))).alias("user_id"), F.max("n").alias("n"))
 
 
-@query("select contig, start_pos, end_pos, qual, dense_rank() over (order by regexp_replace(contig, '^chr', '')::INT, start_pos) as place from bed_a where start_pos < 3000")
+@query("select contig, start_pos, end_pos, qual, dense_rank() over (order by regexp_replace(contig, '^chr', '')::INT, start_pos) as place from bed_a")
 def srt_01_contig_order(spark, sf_dir):
-    b = view(spark, sf_dir, "bed_a").filter("start_pos < 3000")
-    return b.withColumn("place", F.dense_rank().over(Window.orderBy(fn.contig_key("contig"), "start_pos")).cast("long"))
+    return stats.ranked_by_contig(view(spark, sf_dir, "bed_a"), "start_pos")
 
 
 @query("select contig, ref_start, qname, mapq from reads")
@@ -124,12 +100,6 @@ def srt_02_coordinate_sort(spark, sf_dir):
     return view(spark, sf_dir, "reads").repartitionByRange("contig", "ref_start").sortWithinPartitions("contig", "ref_start").select("contig", "ref_start", "qname", "mapq")
 
 
-@query("select contig, count(*) filter (where abs(ref_start - 3000) <= 100) as r100, count(*) filter (where abs(ref_start - 3000) <= 500) as r500, (case when count(*) filter (where abs(ref_start - 3000) <= 100) >= 5 then 100 when count(*) filter (where abs(ref_start - 3000) <= 500) >= 5 then 500 else 1000 end)::INT as used from reads group by contig")
-def lim_01_staged_radius(spark, sf_dir):
-    near = lambda r: F.count_if(F.abs(F.col("ref_start") - 3000) <= r)
-    g = view(spark, sf_dir, "reads").groupBy("contig").agg(near(100).alias("r100"), near(500).alias("r500"))
-    return g.withColumn("used", F.when(F.col("r100") >= 5, 100).when(F.col("r500") >= 5, 500).otherwise(1000))
-
 
 _SAMPLED = "select user_id % 10 as file, (case when event_type = 'error' then 1 else 0 end)::INT as label, event_id, md5(event_id::VARCHAR) as h from events"
 
@@ -141,9 +111,9 @@ def smp_01_balanced_sample(spark, sf_dir):
     return models.balanced(e, ["file"], "label", F.md5(F.col("event_id").cast("string"))).select("file", "label", "event_id")
 
 
-@query("select event_id, round(-0.20 * pow(1 - pt, 2) * ln(pt), 6) as loss from (select event_id, case when event_type = 'error' then 0.01 + value / 500 else 1 - (0.01 + value / 500) end as pt from events where value < 400)")
+@query("select event_id, round(-0.20 * pow(1 - pt, 2) * ln(pt), 6) as loss from (select event_id, case when event_type = 'error' then 0.01 + value_ / 500 else 1 - (0.01 + value_ / 500) end as pt from (select *, least(value, 490) as value_ from events))")
 def udf_05_focal_loss(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("value < 400").select("event_id", (0.01 + F.col("value") / 500).alias("p"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y"))
+    e = table(spark, sf_dir, "events").select("event_id", (0.01 + F.least("value", F.lit(490)) / 500).alias("p"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y"))
     return e.select("event_id", F.round(fn.focal_loss("p", "y"), 6).alias("loss"))
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from readlake.functions import variants as vf
-from readlake.functions.reads import phred
-from readlake.operators import sequential as seq
+from readlake.functions.reads import contig_key, phred
+from readlake.operators import intervals as iv, sequential as seq, stats
+from readlake.plans.interval_queries import _ISLANDS
 from readlake.plans.registry import query
-from readlake.sources import formats as fmt
+from readlake.sources import formats as fmt, sinks
 from readlake.sources.views import table, view
 
+
 def _calls(spark, sf_dir):
     bases = lambda text, n: F.substr(F.lit(text), F.lit(1), F.col(n).cast("int"))
     return view(spark, sf_dir, "variants").select("contig", "pos", bases("AAAAAA", "ref_len").alias("ref"), bases("ACACAC", "alt_len").alias("alt"), "info", "gt", "qual")
@@ -25,16 +27,14 @@ def src_12_vcf_scan(spark, sf_dir):
     return rows.select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), F.col("info")["DP"].cast("long").alias("dp"), F.col("samples")[0].alias("gt"))
 
 
-@query("""select contig, count(*) as records, sum(end_pos - start_pos)::BIGINT as bases from bed_b group by contig""")
-def src_13_bed_totals(spark, sf_dir):
+@query(f"with m as ({_ISLANDS.format(t='bed_b', more='', tie='')}), r as (select contig, count(*) as records from bed_b group by contig) select m.contig, any_value(r.records) as records, count(*) as merged, sum(end_pos - start_pos)::BIGINT as bases from m join r on r.contig = m.contig group by m.contig")
+def src_13_bed_index(spark, sf_dir):
+    """BED text as merged intervals by contig."""
     lines = view(spark, sf_dir, "bed_b").select(F.concat_ws("\t", "contig", F.col("start_pos").cast("string"), F.col("end_pos").cast("string")).alias("value"))
-    cut = F.split("value", "\t")
-    return lines.select(cut[0].alias("contig"), cut[1].cast("long").alias("a"), cut[2].cast("long").alias("b")).groupBy("contig").agg(F.count("*").alias("records"), F.sum(F.col("b") - F.col("a")).alias("bases"))
-
+    rows = fmt.parse_intervals(lines)
+    merged = iv.merge(rows).groupBy("contig").agg(F.count("*").alias("merged"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("bases"))
+    return rows.groupBy("contig").agg(F.count("*").alias("records")).join(merged, "contig")
 
-@query("select contig || ':' || (chunk_id * 50)::VARCHAR || '+' || substring(seq, 1, 1) as key, length(seq)::BIGINT as run from chunks")
-def src_14_run_table(spark, sf_dir):
-    return view(spark, sf_dir, "chunks").select(F.concat("contig", F.lit(":"), (F.col("chunk_id") * 50).cast("string"), F.lit("+"), F.substring("seq", 1, 1)).alias("key"), F.length("seq").cast("long").alias("run"))
 
 
 @query("select event_type as file, arg_max(value, event_id) as last_value, max(event_id) as line from events group by event_type")
@@ -44,23 +44,34 @@ def src_16_log_lines(spark, sf_dir):
     return got.groupBy(F.col("event_type").alias("file")).agg(F.max_by("v", "event_id").alias("last_value"), F.max("event_id").alias("line"))
 
 
-@query("select chr, position, score, row_number() over (order by chr, position) as line from score_windows where score > 80")
+@query("select chr, position, score, row_number() over (order by chr, position) as line from score_windows")
 def snk_03_candidate_rows(spark, sf_dir):
-    w = view(spark, sf_dir, "score_windows").filter("score > 80")
+    """Candidate rows as numbered lines of text under a header, written and read again."""
+    return sinks.csv_round_trip(_numbered(spark, sf_dir), sinks.scratch(spark, "candidates"))
+
+
+def _numbered(spark, sf_dir):
+    w = view(spark, sf_dir, "score_windows")
     # Numbered in two steps, so that no task sorts all rows: within a contig, plus those before it.
     own = w.withColumn("i", F.row_number().over(Window.partitionBy("chr").orderBy("position")))
     before = w.groupBy("chr").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("chr")) - F.col("n"))
     return own.join(before, "chr").select("chr", "position", "score", (F.col("i") + F.col("base")).alias("line"))
 
 
-@query("select contig, start_pos, end_pos, qual, row_number() over (partition by contig order by start_pos, end_pos, qual) as place from bed_a")
+@query("select contig, start_pos, end_pos, qual, dense_rank() over (order by regexp_replace(contig, '^chr', '')::INT, start_pos) as place from bed_a")
 def snk_06_sorted_intervals(spark, sf_dir):
-    return view(spark, sf_dir, "bed_a").withColumn("place", F.row_number().over(Window.partitionBy("contig").orderBy("start_pos", "end_pos", "qual")).cast("long"))
+    """Intervals written in the order of contig key and start: files and rows of files follow it, which the ranks of rows read again show."""
+    path = sinks.scratch(spark, "intervals")
+    sinks.write_sorted(stats.ranked_by_contig(view(spark, sf_dir, "bed_a"), "start_pos"), path, [contig_key("contig"), F.col("start_pos")])
+    return spark.read.parquet(path)
 
 
-@query("select contig, start_pos, end_pos, qual, end_pos - start_pos as length_bp from bed_a where qual > 200000")
+@query("select contig, start_pos, end_pos, qual from bed_a where qual % 3 <> 0")
 def snk_07_validated_rows(spark, sf_dir):
-    return view(spark, sf_dir, "bed_a").filter("qual > 200000").withColumn("length_bp", F.col("end_pos") - F.col("start_pos"))
+    """Kept calls with the columns of the input only, written and read again."""
+    rows = view(spark, sf_dir, "bed_a")
+    kept = rows.withColumn("score", F.col("qual") / 10).filter("qual % 3 <> 0")
+    return sinks.csv_round_trip(kept.select(*rows.columns), sinks.scratch(spark, "validated"))
 
 
 @query(f"select contig || chr(9) || pos::VARCHAR || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || '999' || chr(9) || 'PASS' || chr(9) || info || chr(9) || 'GT' || chr(9) || gt as value from ({_CALLS}) union all select '##contig=<ID=' || contig || '>' from (select distinct contig from variants)")
@@ -74,11 +85,15 @@ def snk_09_added_info(spark, sf_dir):
     return v.select("contig", "pos", F.concat_ws(";", "info", F.concat(F.lit("SPRITES_LEN="), (F.col("ref_len") * 10).cast("string")), F.concat(F.lit("EVIDENCE="), "evidence")).alias("info"))
 
 
-@query("select contig, qname, ref_start, ref_end from reads where mapq < 20 union all select contig, qname, ref_start, ref_end from reads where mapq > 50")
+@query("select contig, qname, ref_start, ref_end, (mapq % 7)::INT as source from reads")
 def snk_11_merged_reads(spark, sf_dir):
-    r = view(spark, sf_dir, "reads").select("contig", "qname", "ref_start", "ref_end", "mapq")
-    both = r.filter("mapq < 20").unionByName(r.filter("mapq > 50"))
-    return both.repartitionByRange("contig", "ref_start").sortWithinPartitions("contig", "ref_start").drop("mapq")
+    """Sorted files of seven sources merged in batches of three, then all batches, into one sorted set."""
+    r = view(spark, sf_dir, "reads").select("contig", "qname", "ref_start", "ref_end", (F.col("mapq") % 7).cast("int").alias("source"))
+    paths = []
+    for i in range(7):
+        paths.append(sinks.scratch(spark, f"source-{i}"))
+        sinks.write_sorted(r.filter(F.col("source") == i), paths[-1], [F.col("contig"), F.col("ref_start")])
+    return spark.read.parquet(sinks.merge_sorted(spark, paths, ["contig", "ref_start"], batch=3))
 
 
 @query("select contig, status, count(*) as n from (select contig, case when qual % 3 = 0 then 'assembled' when qual % 3 = 1 then 'empty_reads' else 'skip_pred' end as status from bed_a) group by contig, status")
@@ -94,35 +109,6 @@ def prj_19_allele_trim(spark, sf_dir):
     return c.select("contig", "pos", F.length("t.ref").cast("long").alias("ref_left"), F.length("t.alt").cast("long").alias("alt_left"))
 
 
-@query("select contig, pos, qual, a.i as allele, (case when ref_len = alt_len + a.i then case when ref_len = 1 then 1 else 2 end when ref_len < alt_len + a.i then 3 else 4 end)::INT as kind from variants, (select unnest([0, 1])::INT as i) a")
-def prj_20_atomic_alleles(spark, sf_dir):
-    v = view(spark, sf_dir, "variants").withColumn("alts", F.array(F.repeat(F.lit("T"), F.col("alt_len").cast("int")), F.repeat(F.lit("T"), F.col("alt_len").cast("int") + 1))).withColumn("ref", F.repeat(F.lit("A"), F.col("ref_len").cast("int")))
-    return v.select("contig", "pos", "qual", "ref", F.posexplode("alts").alias("allele", "alt")).select("contig", "pos", "qual", "allele", vf.allele_kind(F.col("ref"), F.col("alt")).alias("kind"))
-
-
-@query("select contig, pos, case when gt = './.' then null else substring(gt, 1, 1)::INT end as a, case when gt = './.' then null else substring(gt, 3, 1)::INT end as b from variants")
-def prj_21_genotype(spark, sf_dir):
-    g = vf.genotype("gt")
-    return view(spark, sf_dir, "variants").select("contig", "pos", g["a"].alias("a"), g["b"].alias("b"))
-
-
-@query("select contig, pos, (case when a <= b and a <= c then 0 when b <= c then 1 else 2 end)::INT as gt, (case when a <= b and a <= c then least(b, c) - a when b <= c then least(a, c) - b else least(a, b) - c end)::DOUBLE as gq from (select contig, pos, (qual % 60)::DOUBLE as a, (qual % 17 + 5)::DOUBLE as b, (qual % 41)::DOUBLE as c from variants)")
-def prj_22_genotype_quality(spark, sf_dir):
-    pl = F.transform(F.array(F.col("qual") % 60, F.col("qual") % 17, F.col("qual") % 41), lambda x: x.cast("double"))
-    b = vf.best_genotype(pl, 5.0)
-    return view(spark, sf_dir, "variants").select("contig", "pos", b["gt"].alias("gt"), b["gq"].alias("gq"))
-
-
-_DP4 = "select contig, pos, regexp_extract(info, 'DP=(\\d+)', 1)::BIGINT as dp, list_transform(string_split(regexp_extract(info, 'DP4=([0-9,]+)', 1), ','), lambda x: x::BIGINT) as d from variants"
-
-
-@query(f"select contig, pos, dp, d[1] + d[2] + d[3] + d[4] as ds, round((d[3] + d[4]) / nullif(d[1] + d[2] + d[3] + d[4], 0)::DOUBLE, 6) as ab from ({_DP4})")
-def prj_23_annotation(spark, sf_dir):
-    info = fmt.info_map(F.col("info"))
-    d = F.transform(F.split(info["DP4"], ","), lambda x: x.cast("long"))
-    v = view(spark, sf_dir, "variants").select("contig", "pos", info["DP"].cast("long").alias("dp"), d.alias("d"))
-    total = F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x)
-    return v.select("contig", "pos", "dp", total.alias("ds"), F.round(F.try_divide((F.col("d")[2] + F.col("d")[3]).cast("double"), total), 6).alias("ab"))
 
 
 @query("select contig, pos, case when qual % 2 = 0 then '0/1' else gt end as gt from variants")
@@ -136,26 +122,6 @@ def prj_25_sample_subset(spark, sf_dir):
     return v.select("contig", "pos", F.transform(F.array(F.lit(2), F.lit(0)), lambda i: F.get("samples", i)).alias("samples"))
 
 
-@query("select contig, pos - 1 as start_pos, pos - 1 + ref_len as end_pos, (case gt when '0/1' then 1 when '1/1' then 2 else 0 end)::INT as alt_count, (case gt when './.' then 0 else 2 end)::INT as total from variants")
-def prj_26_unary_bed(spark, sf_dir):
-    g = vf.genotype("gt")
-    n = lambda c: F.when(c.isNotNull(), 1).otherwise(0)
-    return view(spark, sf_dir, "variants").select("contig", (F.col("pos") - 1).alias("start_pos"), (F.col("pos") - 1 + F.col("ref_len")).alias("end_pos"), (F.coalesce(g["a"], F.lit(0)) + F.coalesce(g["b"], F.lit(0))).alias("alt_count"), (n(g["a"]) + n(g["b"])).alias("total"))
-
-
-def _lchoose(n, k):
-    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
-
-
-@query(f"""with t as (select distinct d[1] as a, d[2] as b, d[3] as c, d[4] as d from ({_DP4}) where pos % 5 = 0),
- x as (select *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) as x from t),
- p as (select a, b, c, d, exp({_lchoose('(a + b)', 'x')} + {_lchoose('(c + d)', '(a + c - x)')} - {_lchoose('(a + b + c + d)', '(a + c)')}) as p,
-   exp({_lchoose('(a + b)', 'a')} + {_lchoose('(c + d)', 'c')} - {_lchoose('(a + b + c + d)', '(a + c)')}) as own from x)
- select a, b, c, d, round(least(1.0, sum(p) filter (where p <= own * (1 + 1e-7))), 6) as p from p group by a, b, c, d""")
-def fn_01_fisher(spark, sf_dir):
-    d = F.transform(F.split(fmt.info_map(F.col("info"))["DP4"], ","), lambda x: x.cast("long"))
-    t = view(spark, sf_dir, "variants").filter("pos % 5 = 0").select(*[d[i].alias(n) for i, n in enumerate("abcd")]).distinct()
-    return t.withColumn("p", F.round(vf.fisher_exact("a", "b", "c", "d"), 6))
 
 
 @query("select event_id, (case when value / 200 < 1e-10 then 0 else floor(-4.343 * ln(value / 200) + 0.499) end)::BIGINT as q from events where value > 0")
@@ -163,50 +129,16 @@ def fn_02_phred(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("value > 0").select("event_id", phred(F.col("value") / 200).alias("q"))
 
 
-@query("""with d as (select contig, pos, gt, regexp_extract(info, 'DP=(\\d+)', 1)::BIGINT as dp from variants), m as (select avg(dp) + 2 * sqrt(avg(dp)) as hi from d)
- select contig, pos, concat_ws(';', case when dp > hi then 'DPhigh' end, case when dp < 5 then 'DPlow' end, case when gt = './.' then 'noGT' end) as filter from d cross join m""")
-def flt_09_variant_filter(spark, sf_dir):
-    v = view(spark, sf_dir, "variants").select("contig", "pos", "gt", fmt.info_map(F.col("info"))["DP"].cast("long").alias("dp"))
-    m = v.agg((F.avg("dp") + 2 * F.sqrt(F.avg("dp"))).alias("hi"))
-    flags = [F.when(F.col("dp") > F.col("hi"), "DPhigh"), F.when(F.col("dp") < 5, "DPlow"), F.when(F.col("gt") == "./.", "noGT")]
-    return v.crossJoin(F.broadcast(m)).select("contig", "pos", F.concat_ws(";", *flags).alias("filter"))
-
-
-@query("select contig, (case gt when '0/1' then 1 when '1/1' then 2 end)::INT as index, count(*) as n from variants where gt <> './.' group by 1, 2")
-def agg_09_genotype_counts(spark, sf_dir):
-    g = vf.genotype("gt")
-    v = view(spark, sf_dir, "variants").select("contig", g["a"].alias("a"), g["b"].alias("b")).filter("a is not null and b is not null")
-    return v.groupBy("contig", vf.genotype_index(F.col("a"), F.col("b")).alias("index")).agg(F.count("*").alias("n"))
 
 
-@query("select case when alt_len = ref_len then 'SNP' when abs(alt_len - ref_len) = 1 then '1-bp' else 'longer' end as class, count(*) filter (where gt = '0/1') as het, count(*) as total, count(*) - count(*) filter (where gt = '0/1') as other from variants group by 1")
-def agg_22_het_counts(spark, sf_dir):
-    c = F.when(F.col("alt_len") == F.col("ref_len"), "SNP").when(F.abs(F.col("alt_len") - F.col("ref_len")) == 1, "1-bp").otherwise("longer")
-    return view(spark, sf_dir, "variants").groupBy(c.alias("class")).agg(F.count_if(F.col("gt") == "0/1").alias("het"), F.count("*").alias("total")).withColumn("other", F.col("total") - F.col("het"))
 
 
-@query("select contig, count(*) filter (where alt_len = ref_len) as subs, count(*) filter (where alt_len <> ref_len and abs(alt_len - ref_len) <= 2) as gaps from variants group by contig")
-def agg_23_eligible_counts(spark, sf_dir):
-    gap = F.abs(F.col("alt_len") - F.col("ref_len"))
-    return view(spark, sf_dir, "variants").groupBy("contig").agg(F.count_if(gap == 0).alias("subs"), F.count_if((gap > 0) & (gap <= 2)).alias("gaps"))
-
-
-@query("select qual as value, count(*) as n, sum(count(*)) over (order by qual desc)::BIGINT as so_far from variants group by qual")
-def agg_17_quality_strata(spark, sf_dir):
-    g = view(spark, sf_dir, "variants").groupBy(F.col("qual").alias("value")).agg(F.count("*").alias("n"))
-    return g.withColumn("so_far", F.sum("n").over(Window.orderBy(F.desc("value"))))
-
 
 @query()
 def win_08_drop_overlaps(spark, sf_dir):
     return seq.drop_overlaps(view(spark, sf_dir, "bed_a"))
 
 
-@query()
-def win_09_merge_half_calls(spark, sf_dir):
-    v = view(spark, sf_dir, "variants").select("contig", (F.floor(F.col("pos") / 20) * 20).alias("pos"), F.concat(F.lit("A"), F.col("alt_len").cast("string")).alias("alt"), "gt")
-    return seq.merge_half_calls(v)
-
 
 @query()
 def win_10_segments(spark, sf_dir):

@@ -11,9 +11,36 @@ def header_contigs(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("value").startswith("@SQ")).select(field("SN").alias("contig"), field("LN").cast("long").alias("length"))
 
 
-def contig_aliases(contigs: DataFrame) -> DataFrame:
-    plain = F.regexp_replace("contig", "^chr", "")
-    return contigs.select("contig", plain.alias("plain"), F.concat(F.lit("chr"), plain).alias("prefixed"))
+def resolve_contigs(names: DataFrame, listed: DataFrame) -> DataFrame:
+    """``name`` by five rules: label (blanks and a leading chr gone, upper case), listed (as in ``listed`` (contig), with or without
+    chr), listed_mt (the same, M and MT as one), as_listed (with chr if the list has such names) and bare (every chr gone).
+
+    The list is a small dimension; null where it has no such name."""
+    strip = lambda c: F.when(c.startswith("chr"), F.substr(c, F.lit(4))).otherwise(c)
+    plain, trimmed = strip(F.col("name")), F.trim("name")
+    one = lambda c: F.when(c.isin("M", "MT"), "M").otherwise(c)
+    have = listed.select(F.col("contig").alias("listed"), strip(F.col("contig")).alias("_p"), F.lit(True).alias("_has"))
+    by = lambda df, key, name: df.groupBy(key.alias("_k")).agg(F.min("listed").alias(name))
+    style = have.agg(F.bool_or(F.col("listed").startswith("chr")).alias("_chr"))
+    out = names.withColumn("_a", plain).withColumn("_b", one(plain)).join(F.broadcast(by(have, F.col("_p"), "listed")), F.col("_a") == F.col("_k"), "left").drop("_k")
+    out = out.join(F.broadcast(by(have, one(F.col("_p")), "listed_mt")), F.col("_b") == F.col("_k"), "left").crossJoin(F.broadcast(style))
+    as_listed = F.when(F.col("_chr") & ~F.col("name").startswith("chr"), F.concat(F.lit("chr"), "name")).when(~F.col("_chr"), plain).otherwise(F.col("name"))
+    return out.select("name", F.upper(strip(trimmed)).alias("label"), "listed", "listed_mt", as_listed.alias("as_listed"), F.replace("name", F.lit("chr"), F.lit("")).alias("bare"))
+
+
+def parse_runs(lines: DataFrame) -> DataFrame:
+    """Homopolymer runs of BED text (contig, start, end, base, run): contig, pos (from 1), base, run and key (contig:posbase)."""
+    f = F.split("value", "\t")
+    rows = lines.select(f[0].alias("contig"), (f[1].cast("bigint") + 1).alias("pos"), F.upper(f[3]).alias("base"), f[4].cast("bigint").alias("run"))
+    return rows.withColumn("key", F.concat("contig", F.lit(":"), F.col("pos").cast("string"), "base"))
+
+
+def batch_places(df: DataFrame, index: str) -> DataFrame:
+    """chrom, start_pos of ``index`` texts: fields, a pair, contig:start or contig:start-end. Other shapes fail."""
+    found = F.regexp_extract(index, r"^\(?'?([^',:]+)'?[,:]\s*(\d+)(?:-\d+)?\)?$", 0) != ""
+    part = lambda i: F.regexp_extract(index, r"^\(?'?([^',:]+)'?[,:]\s*(\d+)(?:-\d+)?\)?$", i)
+    ok = lambda c: F.when(found, c).otherwise(F.raise_error(F.concat(F.lit("no place: "), F.col(index))))
+    return df.select(ok(part(1)).alias("chrom"), part(2).cast("bigint").alias("start_pos"))
 
 
 def normalise_candidates(raw: DataFrame, width: int = 1000) -> DataFrame:

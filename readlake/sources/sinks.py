@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,10 +44,79 @@ def write_blocks(df: DataFrame, path: str, by: str = "contig") -> None:
     df.repartition(by).sortWithinPartitions(by).write.partitionBy(by).mode("overwrite").parquet(path)
 
 
+def write_batches(df: DataFrame, path: str, by: str, order: str, size: int = 100) -> None:
+    """Parquet by ``by``, with ``batch``: rows in order in full batches of ``size`` and a tail."""
+    i = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    df.withColumn("batch", F.floor(i / size)).write.partitionBy(by).mode("overwrite").parquet(path)
+
+
 def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Text with a header in every file, one file with a header where there are no rows."""
+    (df if not df.isEmpty() else df.coalesce(1)).write.mode("overwrite").option("header", True).csv(path)
+
+
+def csv_round_trip(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as text and read again with its columns and types."""
+    write_csv(df, path)
+    return df.sparkSession.read.schema(df.schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def write_sorted(df: DataFrame, path: str, order: list[Column]) -> None:
+    """Parquet files whose rows, and which by name, are in one order."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def merge_sorted(spark: SparkSession, paths: list[str], order: list[str], batch: int = 300) -> str:
+    """The path of one sorted set of the rows of many, ``batch`` inputs at a time, then the merged batches again, as long as
+    there are several. Sets between are deleted."""
+    made: list[str] = []
+    while len(paths) > 1:
+        after = []
+        for i in range(0, len(paths), batch):
+            own = paths[i : i + batch]
+            after.append(scratch(spark, "merged"))
+            write_sorted(spark.read.parquet(*own), after[-1], [F.col(c) for c in order])
+        wipe(spark, [p for p in paths if p in made])
+        paths, made = after, after
+    return paths[0]
+
+
+def wipe(spark: SparkSession, paths: list[str]) -> None:
+    """Delete outputs of an earlier run."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def locate(spark: SparkSession, paths: list[str], columns: set[str]) -> str | None:
+    """The first finished text table whose header has the columns."""
+    return next((p for p in paths if done(spark, p) and columns <= {c.strip() for c in spark.read.option("header", True).csv(p).columns}), None)
+
+
+# Names of assembly outputs.
+OUTPUTS = (".unitig.fa", ".ctg.fa", ".mag.gz", ".fa", ".fasta", ".pre.gz")
+
+
+def assembly_outputs(files: DataFrame, keys: list[str], name: str, changed: Column) -> DataFrame:
+    """keys, outputs (distinct files of an assembly's kinds), first (by name) and latest (file of any kind, by ``changed``)."""
+    own = F.lit(False)
+    for end in OUTPUTS:
+        own = own | F.col(name).endswith(end)
+    kept = F.when(own, F.col(name))
+    return files.groupBy(*keys).agg(F.count_distinct(kept).alias("outputs"), F.min(kept).alias("first"), F.max_by(name, changed).alias("latest"))
+
+
+def progress_line(current: Column, total: Column, width: int = 20) -> Column:
+    """``done n of m [####....] p%``."""
+    share = F.coalesce(F.least(F.try_divide(current.cast("double"), total), F.lit(1.0)), F.lit(0.0))
+    full = F.floor(share * width).cast("int")
+    return F.format_string("done %d of %d [%s%s] %.1f%%", current, total, F.repeat(F.lit("#"), full), F.repeat(F.lit("."), width - full), share * 100)
+
+
 def fastq(qname, seq, qual) -> Column:
     """A read as four lines of text."""
     return F.concat(F.lit("@"), F.col(qname).cast("string"), F.lit("\n"), F.col(seq), F.lit("\n+\n"), F.col(qual))
