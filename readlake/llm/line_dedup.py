@@ -14,17 +14,22 @@ keep all of them, and columns beyond doc_id and text stay as they are.
 
 Scale: first places are found by a partially aggregated minimum, so a window that a third
 of the documents hold needs one row for each map task. The join back to the windows is a
-plain equi-join on the hash, whose hot keys adaptive execution splits.
+plain equi-join on the hash, whose hot keys adaptive execution splits. A bitmap of fixed size
+tells most documents without repeats, whose texts are not shuffled; the others meet their list
+of repeats in a shuffle. Beyond some ten million such documents the bitmap fills up and lets
+more texts pass into the shuffle, with the same result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from readlake.llm.common import BROADCAST_BYTES, materialize
+from readlake.llm.common import free_names, materialize
 
 #: Lines of a window.
 WIDTH = 3
+#: Parts of 4 KB of the bitmap of documents with repeats, which is broadcast.
+BITMAP = 1024
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -52,26 +57,38 @@ def repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.groupBy("_key").agg(F.array_sort(F.collect_set("_pos")).alias("_starts"))
 
 
+def _bit(h: Column) -> tuple[Column, Column]:
+    """The part of the bitmap and the place in it for a hash."""
+    return F.pmod(F.shiftright(h, 15), F.lit(BITMAP)), F.pmod(h, F.lit(1 << 15))
+
+
 def dedup_lines(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``documents`` with repeated lines gone from text, and n_lines and n_removed, which
     replace columns of these names."""
-    later = materialize(repeats(documents, width).select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h"), "_starts"), "line-repeats")
-    # Where the list of repeats is measured to be small, texts need no shuffle.
-    if (later.agg(F.sum(64 + 4 * F.size("_starts"))).first()[0] or 0) <= BROADCAST_BYTES:
-        later = F.broadcast(later)
-    keyed = documents.withColumn("_x", F.xxhash64("text"))
-    joined = keyed.join(later, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_h")), "left")
-    # Covered places: the union of [start, start + width), as a distinct array of line numbers.
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (width - 1)))))
-    cut = joined.withColumn("_all", _lines(F.col("text"))).withColumn("_cover", F.coalesce(covered, F.array().cast("array<int>")))
-    size = F.greatest(F.size("_all"), F.lit(0))
-    kept = F.when(F.size("_cover") == 0, F.col("text")).otherwise(
-        F.array_join(F.filter("_all", lambda x, i: ~F.array_contains("_cover", i)), "\n")
-    )
+    h, doc, x, starts, part, bits, lines, gone = free_names([*documents.columns, "n_lines", "n_removed"], "_h", "_doc", "_x", "_starts", "_part", "_bits", "_lines", "_gone")
+    later = materialize(repeats(documents, width).select(F.col("_key.doc_id").alias(doc), F.col("_key.h").alias(x), F.col("_starts").alias(starts)), "line-repeats")
+    at, place = _bit(F.col(x))
+    bitmap = materialize(later.groupBy(at.alias(part)).agg(F.bitmap_construct_agg(place).alias(bits)), "line-bitmap")
+    at, place = _bit(F.col(h))
+    keyed = documents.withColumn(h, F.xxhash64("text")).join(F.broadcast(bitmap), at == F.col(part), "left")
+    byte = F.conv(F.hex(F.substr(F.col(bits), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    told = keyed.withColumn(part, may).drop(bits)
+    some = told.filter(part).join(later, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(h) == F.col(x)), "left")
+    # For each line whether it goes: starts rise, so each adds the lines up to it, which stay, and its own beyond the one before.
+    past = lambda i: F.coalesce(F.get(F.col(starts), i - 1) + width, F.lit(0))
+    flags = F.flatten(F.transform(starts, lambda s, i: F.concat(F.array_repeat(F.lit(False), F.greatest(s - past(i), F.lit(0))), F.array_repeat(F.lit(True), F.least(F.lit(width), s + width - past(i))))))
+    split = lambda df: df.withColumn(lines, _lines(F.col("text")))
+    cut = split(some).withColumn(gone, flags)
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col(gone), i), F.lit(False))), "\n"))
     own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return cut.select(
-        *[kept.alias("text") if c == "text" else F.col(c) for c in own],
-        F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("n_lines"), F.size("_cover").cast("long").alias("n_removed"))
+
+    def out(df: DataFrame, text: Column, removed: Column) -> DataFrame:
+        n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+        return df.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], n.alias("n_lines"), removed.cast("long").alias("n_removed"))
+
+    removed = F.coalesce(F.size(F.filter(gone, lambda g: g)), F.lit(0))
+    return out(split(told.filter(~F.col(part))), F.col("text"), F.lit(0)).unionByName(out(cut, kept, F.when(F.col(gone).isNull(), 0).otherwise(removed)))
 
 
 def digest(documents: DataFrame, width: int = WIDTH) -> DataFrame:
