@@ -12,8 +12,11 @@ documents are each judged alone, columns beyond doc_id and text are kept as they
 an empty benchmark hits nothing.
 
 The broadcast is bounded: the benchmark is measured first, and beyond ``limit`` bytes of
-text it is scanned in blocks of that size (a stated query set against all rows), whose
-marks are merged by document.
+text it is scanned in blocks of about that size (a stated query set against all rows). Blocks
+are read, broadcast and scanned one after the other, each leaves only the marks of hit
+documents, and merged marks are joined back by doc_id and a hash of the text, so rows that
+repeat both have the same marks. A block takes the driver and each Python worker about eight
+times its text: hashes, items and word places as arrays beside the words themselves.
 """
 
 from __future__ import annotations
@@ -22,44 +25,59 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from readlake.llm import bytewise
-from readlake.llm.common import map_batches, with_uid
+from readlake.llm.common import broadcast_if_small, discard, free_names, map_batches, materialize
 
 #: Words of a window.
 WINDOW = 10
 #: Benchmark text bytes that are broadcast at once.
-LIMIT = 16 << 20
+LIMIT = 8 << 20
 
 
 class WindowSet:
-    """Windows of the items: hash, words, item, grouped by their length in words."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
-        rows: dict[int, dict[tuple[int, bytes], set]] = {}
-        ids = [i for i, _ in items]
-        for w in bytewise.scan(pa.array([t for _, t in items], pa.large_string()), bytewise.ALNUM):
-            h = w.hashes()
-            for r in range(w.hi - w.lo):
-                a, b = int(w.ptr[r]), int(w.ptr[r + 1])
-                k = min(window, b - a)
-                if not k:
-                    continue
-                at = np.arange(a, b - k + 1)
-                for g, i in zip(bytewise.gram_hash(h, at, k).tolist(), at.tolist(), strict=True):
-                    words = b" ".join(w.text(j) for j in range(i, i + k))
-                    rows.setdefault(k, {}).setdefault((g, words), set()).add(ids[w.lo + r])
-        self.by_size = {}
-        for k, found in sorted(rows.items()):
-            keys = sorted(found)
-            self.by_size[k] = (np.array([g for g, _ in keys], np.uint64), [words for _, words in keys], [tuple(found[x]) for x in keys])
+    """Distinct windows of a block's items by their length in words: sorted hashes, the first word of
+    each in one buffer of all items' words, and its items."""
+
+    def __init__(self, items: pa.Table, window: int):
+        """``items``: item_id and text."""
+        self.ids = pa.array(pc.cast(items.column("item_id"), pa.string()).to_pylist(), pa.string())
+        text = items.column("text").cast(pa.large_string()).combine_chunks()
+        bufs, starts, ends, hashes, counts, past = [], [], [], [], [], 0
+        for w in bytewise.scan(text, bytewise.ALNUM) if items.num_rows else ():
+            bufs.append(w.buf)
+            starts.append(w.start + past)
+            ends.append(w.end + past)
+            hashes.append(w.hashes())
+            counts.append(w.counts)
+            past += len(w.buf)
+        cat = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
+        self.buf, self.start, self.end, count = cat(bufs, np.uint8), cat(starts, np.int64), cat(ends, np.int64), cat(counts, np.int64)
+        h, ptr, k_of = cat(hashes, np.uint64), np.cumsum(count) - count, np.minimum(count, window)
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in np.unique(k_of[k_of > 0]).tolist():
+            rows = np.flatnonzero(k_of == k)
+            many = count[rows] - k + 1
+            at = np.repeat(ptr[rows], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            g = bytewise.gram_hash(h, at, k)
+            order = np.argsort(g, kind="stable")
+            g, at, item = g[order], at[order], np.repeat(rows, many)[order]
+            new = np.ones(len(g), bool)
+            for i in (np.flatnonzero(g[1:] == g[:-1]) + 1).tolist():
+                new[i] = self._text(int(at[i]), k) != self._text(int(at[i - 1]), k)
+            first = np.flatnonzero(new)
+            self.by_size[k] = (g[first], at[first], np.append(first, len(g)), item)
+
+    def _text(self, at: int, k: int) -> list[bytes]:
+        return [self.buf[self.start[j] : self.end[j]].tobytes() for j in range(at, at + k)]
 
     def hits(self, w: bytewise.Words):
-        """(row, first word, words, item ids) of each verified window of a chunk."""
+        """(row, first word, words, item rows) of each verified window of a chunk."""
         h = w.hashes()
         row = w.rows()
-        for k, (hashes, texts, ids) in self.by_size.items():
+        for k, (hashes, places, bounds, items) in self.by_size.items():
             g, at = w.grams(h, k)
             if not len(g):
                 continue
@@ -67,65 +85,83 @@ class WindowSet:
             found = np.flatnonzero((left < len(hashes)) & (hashes[np.minimum(left, len(hashes) - 1)] == g))
             for x in found.tolist():
                 i, first = int(left[x]), int(at[x])
-                words = b" ".join(w.text(j) for j in range(first, first + k))
+                words = [w.text(j) for j in range(first, first + k)]
                 while i < len(hashes) and hashes[i] == g[x]:
-                    if texts[i] == words:
-                        yield int(row[first]), first, k, ids[i]
+                    if self._text(int(places[i]), k) == words:
+                        yield int(row[first]), first, k, items[bounds[i] : bounds[i + 1]]
                     i += 1
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list]:
-    """The items in blocks of at most about ``limit`` bytes, read one block at a time."""
-    sized = benchmark.select("item_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    count = max(1, -(-total // limit))
-    if count == 1:
-        return [[(r[0], r[1]) for r in sized.select("item_id", "text").toLocalIterator()]]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [[(r[0], r[1]) for r in sized.filter(part == i).select("item_id", "text").toLocalIterator()] for i in range(count)]
-
-
-def mark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
-    """``documents`` with n_words, hit spans (``spans``: array of [first, past) word bounds,
-    merged) and ``items`` (distinct item ids, sorted as strings)."""
-    spark = documents.sparkSession
-    blocks = _blocks(benchmark, limit)
-    docs = documents if len(blocks) == 1 else with_uid(documents)
-    keep = docs.schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", _n_words bigint, _spans array<bigint>, _items array<string>"
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(WindowSet(block, window))
-        part = map_batches(docs, lambda batch, shared=shared: _mark(batch, shared.value), schema, 2000)
-        out = part if out is None else out.unionByName(part)
-    if len(blocks) > 1:
-        names = [c for c in documents.columns]
-        out = out.groupBy("_uid").agg(
-            *[F.first(c).alias(c) for c in names], F.max("_n_words").alias("_n_words"),
-            F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
-        ).drop("_uid")
-    return out
+def _block(benchmark: DataFrame, part: int, count: int) -> pa.Table:
+    """One of ``count`` parts of the items."""
+    own = benchmark.select("item_id", "text")
+    return (own if count == 1 else own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == part)).toArrow()
+
 
+def _count(benchmark: DataFrame, limit: int) -> int:
+    total = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+    return max(1, -(-total // limit))
 
-def _mark(batch: pa.RecordBatch, windows: WindowSet):
+
+def mark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT, names: tuple[str, str, str] = ("_n_words", "_spans", "_items")) -> DataFrame:
+    """``documents`` with the number of words, hit spans (flat [first, past) word bounds, merged) and
+    the distinct item ids, sorted as strings, under ``names``."""
+    spark, count = documents.sparkSession, _count(benchmark, limit)
+    n_words, spans, items = names
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + f", `{n_words}` bigint"
+    if count == 1:
+        shared = spark.sparkContext.broadcast(WindowSet(_block(benchmark, 0, 1), window))
+        return map_batches(documents, lambda batch: _mark(batch, shared.value, names), f"{schema}, `{spans}` array<bigint>, `{items}` array<string>", 2000)
+    narrow = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    kinds = f"doc_id {dict(documents.dtypes)['doc_id']}, h bigint, spans array<bigint>, items array<string>"
+    found: list[DataFrame] = []
+    for part in range(count):
+        shared = spark.sparkContext.broadcast(WindowSet(_block(benchmark, part, count), window))
+
+        def hit(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            out = _mark(batch, shared.value, ("n", "spans", "items"))
+            return out.filter(pc.greater(pc.list_value_length(out.column("spans")), 0)).select(["doc_id", "h", "spans", "items"])
+
+        found.append(materialize(map_batches(narrow, hit, kinds, 2000), "block-hits"))
+        shared.destroy()
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    d, h, x, s, i = free_names([*documents.columns, *names], "_d", "_h", "_x", "_s", "_i")
+    merged_ = every.groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.flatten(F.collect_set("spans")).alias(s), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(i))
+    merged_ = materialize(merged_, "document-hits")
+    discard(*found)
+    size = F.col("_bytes")
+    small = (merged_.select((F.size(s) * 8 + F.size(i) * 24 + 32).alias("_bytes")).agg(F.sum(size)).first()[0] or 0) <= limit
+    counted = map_batches(documents, lambda batch: _words(batch, n_words), schema, 2000).withColumn(x, F.xxhash64("text"))
+    joined = counted.join(F.broadcast(merged_) if small else merged_, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(x) == F.col(h)), "left")
+    return joined.select(*documents.columns, n_words, F.coalesce(s, F.array().cast("array<bigint>")).alias(spans), F.coalesce(i, F.array().cast("array<string>")).alias(items))
+
+
+def _words(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    counts = [w.counts for w in bytewise.scan(batch.column("text"), bytewise.ALNUM)]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts), pa.int64())], names=[*batch.schema.names, name])
+
+
+def _mark(batch: pa.RecordBatch, windows: WindowSet, names: tuple[str, str, str]) -> pa.RecordBatch:
     counts, ptr, spans, iptr, items = [], [0], [], [0], []
     for w in bytewise.scan(batch.column("text"), bytewise.ALNUM):
         found: dict[int, tuple[list, set]] = {}
         for row, first, k, ids in windows.hits(w):
             x = found.setdefault(row, ([], set()))
             x[0].append((first - int(w.ptr[row]), first - int(w.ptr[row]) + k))
-            x[1].update(str(i) for i in ids if i is not None)
+            x[1].update(ids.tolist())
         counts.append(w.counts)
         for row in range(w.hi - w.lo):
             if row in found:
                 spans.extend(merged(found[row][0]))
-                items.extend(sorted(found[row][1]))
+                items.extend(sorted({x for x in windows.ids.take(pa.array(list(found[row][1]))).to_pylist() if x is not None}))
             ptr.append(len(spans))
             iptr.append(len(items))
     return pa.RecordBatch.from_arrays(
         [*batch.columns, pa.array(np.concatenate(counts), pa.int64()), bytewise.list_array(np.array(spans, np.int64), np.array(ptr), pa.int64()),
          pa.ListArray.from_arrays(pa.array(iptr, pa.int32()), pa.array(items, pa.string()))],
-        names=[*batch.schema.names, "_n_words", "_spans", "_items"],
+        names=[*batch.schema.names, *names],
     )
 
 
@@ -170,12 +206,13 @@ def _without(text, spans):
 def decontaminate(documents: DataFrame, benchmark: DataFrame, action: str = "documents", window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """``documents`` without the hit ones (``action="documents"``) or without the hit words
     and what stands between them (``"spans"``); same columns."""
-    found = mark(documents, benchmark, window, limit)
+    names = tuple(free_names(documents.columns, "_n_words", "_spans", "_items"))
+    found = mark(documents, benchmark, window, limit, names)
     if action == "documents":
-        return found.filter(F.size("_spans") == 0).select(documents.columns)
+        return found.filter(F.size(names[1]) == 0).select(documents.columns)
     if action != "spans":
         raise ValueError(action)
-    return found.withColumn("text", _without("text", "_spans")).select(documents.columns)
+    return found.withColumn("text", _without("text", names[1])).select(documents.columns)
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
