@@ -31,7 +31,7 @@ def size_text(n) -> Column:
 def duration_text(seconds) -> Column:
     s = F.greatest(F.bround(col(seconds)).cast("bigint"), F.lit(0))
     d, h, m, x = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(s.isNull(), "n/a").when(d > 0, F.format_string("%dd %02dh", d, h)).when(h > 0, F.format_string("%dh %02dm", h, m)).when(m > 0, F.format_string("%dm %02ds", m, x)).otherwise(F.format_string("%ds", x))
+    return F.when(col(seconds).isNull(), "n/a").when(d > 0, F.format_string("%dd %02dh", d, h)).when(h > 0, F.format_string("%dh %02dm", h, m)).when(m > 0, F.format_string("%dm %02ds", m, x)).otherwise(F.format_string("%ds", x))
 
 
 def rate_text(rate) -> Column:

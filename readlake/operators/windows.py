@@ -53,6 +53,10 @@ def smooth(df: DataFrame, keys: list[str], order: str, value: str, sigma: float)
     # What stands ``j`` rows away; a mirrored place is at most 2 * reach away.
     away = {j: F.lag(value, -j).over(w) if j < 0 else F.lead(value, j).over(w) for j in range(-2 * reach, 2 * reach + 1)}
 
+    def mirrored(place: Column) -> Column:
+        p = F.pmod(place - 1, 2 * n)
+        return F.when(p < n, p + 1).otherwise(2 * n - p)
+
     def at(place: Column) -> Column:
         out = F.lit(None)
         for j, v in away.items():
@@ -61,8 +65,7 @@ def smooth(df: DataFrame, keys: list[str], order: str, value: str, sigma: float)
 
     out = F.col(value) * kernel[0]
     for k, weight in enumerate(kernel[1:], 1):
-        lower, upper = i - k, i + k
-        out = out + weight * (at(F.when(lower >= 1, lower).otherwise(1 - lower)) + at(F.when(upper <= n, upper).otherwise(2 * n + 1 - upper)))
+        out = out + weight * (at(mirrored(i - k)) + at(mirrored(i + k)))
     return out
 
 
@@ -80,7 +83,9 @@ def top_share(df: DataFrame, value: str, share: float = 0.9, accuracy: int = 10_
     low, high = max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)
     v = F.col(value).cast("double")
     found = df.agg(F.count(value).alias("_n"), F.approx_percentile(v, [low, high], accuracy).alias("_q")).select("_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    near = df.crossJoin(F.broadcast(found))
+    # One more value on either side, which matters where rows are few.
+    wide = df.crossJoin(F.broadcast(found)).agg(F.max("_n").alias("_n"), F.max(F.when(v < F.col("_lo"), v)).alias("_p"), F.min(F.when(v > F.col("_hi"), v)).alias("_q"), F.max("_lo").alias("_a"), F.max("_hi").alias("_b"))
+    near = df.crossJoin(F.broadcast(wide.select("_n", F.coalesce("_p", "_a").alias("_lo"), F.coalesce("_q", "_b").alias("_hi"))))
     below = near.agg(F.count_if(v < F.col("_lo")).alias("_below"))
     inside = near.filter((v >= F.col("_lo")) & (v <= F.col("_hi"))).groupBy(v.alias("_v")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     past = inside.crossJoin(F.broadcast(below)).withColumn("_past", F.col("_below") + F.sum("_c").over(Window.orderBy("_v"))).withColumn("_place", (F.col("_n") - 1) * share)
