@@ -15,8 +15,7 @@ the targets add up to the whole, which has a closed form over sources ordered by
 size / weight.
 
 Defined results: null or blank text has size 0 and is never taken. A null source is a
-source, and so is one whose texts are all blank: it has target 0 and its turn of the weights.
-The SQL form skips such a source, so it differs where one comes before others. Rows that
+source, and so is one whose texts are all blank: it has target 0 and its turn of the weights. Rows that
 repeat doc_id, source and size are ties: they stand at one place, and where the budget ends
 among them each gets an equal part, rounded down. The plan has one row for each source.
 """
@@ -25,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from readlake.llm.common import broadcast_if_small, materialize
+from readlake.llm.common import broadcast_if_small, discard, free_names, materialize
 
 WEIGHTS = (1, 2, 3)
 #: A target is at most this many times its source's size.
@@ -81,35 +80,40 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     here = here.withColumn("past", F.sum(F.col("size") * F.col("ties")).over(upto)).withColumn("start", F.col("past") - F.col("size") * F.col("ties"))
     cut = here.filter((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("past"))).select(
         F.col("source").alias("u"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.floor((F.col("rest") - F.col("start")) / F.col("ties")).alias("cut_part"))
-    return materialize(aims.join(cut, F.col("source").eqNullSafe(F.col("u")), "left").drop("u", "rest", "budget"), "mix-plan")
+    out = materialize(aims.join(cut, F.col("source").eqNullSafe(F.col("u")), "left").drop("u", "rest", "budget"), "mix-plan")
+    discard(placed, parts, aims, last)
+    return out
 
 
-def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, keep_names: bool = False) -> DataFrame:
-    """``documents`` with size, source_size, target and taken, which replace columns of these
-    names; with ``keep_names`` their names begin with ``_mix_`` instead."""
+def allot(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, names: tuple[str, ...] = ("size", "source_size", "target", "taken")) -> DataFrame:
+    """``documents`` with size, source_size, target and taken (or other ``names`` for them), which
+    replace columns of these names."""
     rows = plan(documents, weights, most, seed)
-    rows = broadcast_if_small(rows.select(*[F.col(c).alias("_p_" + c) for c in rows.columns]), 160)
-    sized = documents.withColumn("_size", size_of(F.col("text"))).withColumn("_key", key_of(F.col("doc_id"), seed))
-    joined = sized.join(rows, F.col("source").eqNullSafe(F.col("_p_source")), "left")
+    size, key, *own = free_names([*documents.columns, *names], "_size", "_key", *["_p_" + c for c in rows.columns])
+    col = dict(zip(rows.columns, own, strict=True))
+    rows = broadcast_if_small(rows.select(*[F.col(c).alias(n) for c, n in col.items()]), 160)
+    sized = documents.withColumn(size, size_of(F.col("text"))).withColumn(key, key_of(F.col("doc_id"), seed))
+    joined = sized.join(rows, F.col("source").eqNullSafe(F.col(col["source"])), "left")
     # null doc_ids share one key and come first, as in the sort.
-    place, end = F.struct("_key", "doc_id", "_size"), F.struct("_p_cut_key", "_p_cut_id", "_p_cut_size")
-    part = F.when(F.col("_p_cut_key").isNull() | (F.col("_size") == 0), 0).when(place < end, F.col("_size")).when(place == end, F.col("_p_cut_part")).otherwise(0)
-    taken = F.coalesce(F.col("_p_epochs") * F.col("_size") + part, F.lit(0))
-    new = {"size": F.col("_size"), "source_size": F.coalesce("_p_source_size", F.lit(0).cast("long")), "target": F.coalesce("_p_target", F.lit(0.0)), "taken": taken.cast("long")}
-    prefix = "_mix_" if keep_names else ""
-    return joined.select(*[c for c in documents.columns if prefix + c not in new or keep_names], *[c.alias(prefix + n) for n, c in new.items()])
+    said = lambda k, d, n: F.struct(F.col(k).alias("k"), F.col(d).alias("d"), F.col(n).alias("n"))
+    place, end = said(key, "doc_id", size), said(col["cut_key"], col["cut_id"], col["cut_size"])
+    part = F.when(F.col(col["cut_key"]).isNull() | (F.col(size) == 0), 0).when(place < end, F.col(size)).when(place == end, F.col(col["cut_part"])).otherwise(0)
+    taken = F.coalesce(F.col(col["epochs"]) * F.col(size) + part, F.lit(0))
+    new = (F.col(size), F.coalesce(col["source_size"], F.lit(0).cast("long")), F.coalesce(col["target"], F.lit(0.0)), taken.cast("long"))
+    return joined.select(*[c for c in documents.columns if c not in names], *[c.alias(n) for c, n in zip(new, names, strict=True)])
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixed documents, with the columns of ``documents``: a document stands once for each
     time it is taken whole; one at which its source's budget ends comes with its first words."""
-    rows = allot(documents, weights, most, seed, keep_names=True).filter("_mix_taken > 0").withColumn("_whole", F.floor(F.col("_mix_taken") / F.col("_mix_size"))).withColumn("_rest", F.col("_mix_taken") % F.col("_mix_size"))
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_rest").cast("int")), "")
-    text = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(cut)
+    size, other, target, taken, whole, rest, copy = free_names(documents.columns, "_size", "_source_size", "_target", "_taken", "_whole", "_rest", "_copy")
+    rows = allot(documents, weights, most, seed, (size, other, target, taken)).filter(F.col(taken) > 0).withColumn(whole, F.floor(F.col(taken) / F.col(size))).withColumn(rest, F.col(taken) % F.col(size))
+    copies = rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(whole) + F.when(F.col(rest) > 0, 1).otherwise(0))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col(rest).cast("int")), "")
+    text = F.when(F.col(copy) <= F.col(whole), F.col("text")).otherwise(cut)
     out = copies.withColumn("text", text)
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_copy") <= F.col("_whole"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(copy) <= F.col(whole), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(documents.columns)
 
 
@@ -117,7 +121,7 @@ ORACLE = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT as size,
          ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT as key from documents
-), s as (select source, sum(size)::BIGINT as s from d where size > 0 group by source),
+), s as (select source, sum(size)::BIGINT as s from d group by source),
 w as (select source, s, (1 + (row_number() over (order by source nulls last) - 1) % 3)::BIGINT as w from s),
 c as (
   select source, s, w,
@@ -126,7 +130,7 @@ c as (
 ), t as (
   select source, s, least(s::DOUBLE * 3, (max(case when l * w <= 3 * s * o then l::DOUBLE / o end) over ()) * w) as target from c
 ), b as (select *, floor(target)::BIGINT as budget from t),
-e as (select *, budget // s as epochs, budget % s as rest from b),
+e as (select *, coalesce(budget // nullif(s, 0), 0) as epochs, coalesce(budget % nullif(s, 0), 0) as rest from b),
 p as (select *, (sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and current row) - size)::BIGINT as start from d)
 select p.doc_id, p.size, coalesce(e.s, 0)::BIGINT as source_size, coalesce(e.target, 0.0)::DOUBLE as target,
        coalesce(e.epochs * p.size + greatest(0, least(p.size, e.rest - p.start)), 0)::BIGINT as taken
