@@ -197,9 +197,10 @@ def phred(p) -> Column:
 
 
 def focal_loss(p, y, alpha: float = 0.20, gamma: float = 2.0) -> Column:
-    """Focal loss of a probability for a 0/1 label."""
-    pt = F.when(col(y) == 1, col(p)).otherwise(1 - col(p))
-    return -alpha * F.pow(1 - pt, F.lit(gamma)) * F.log(pt)
+    """Focal loss of a probability for a 0/1 label; ``alpha`` weighs label 1 and what is left of 1 label 0."""
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), col(p)))
+    pt = F.when(col(y) == 1, q).otherwise(1 - q)
+    return -F.when(col(y) == 1, alpha).otherwise(1 - alpha) * F.pow(1 - pt, F.lit(gamma)) * F.log(pt)
 
 
 def softmax(scores: list) -> list[Column]:

@@ -46,6 +46,26 @@ def score_windows(windows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray]
     return windows.select("contig", "win_start", "feat").mapInPandas(run, "contig string, position bigint, score double")
 
 
+def score_channels(windows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], mean: list[float], channels: int = 9, width: int = 1000, batch: int = 32) -> DataFrame:
+    """contig, position, score of (contig, win_start, feat) rows, whose feat is an array of (at, values by channel), in batches of dense
+    (n, channels, width) windows. Values are divided by their channel's mean, and then a signed logarithm is taken."""
+    by = np.where(np.array(mean, float) > 0, np.array(mean, float), 1.0)[None, :, None]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for i in range(0, len(rows), batch):
+                part = rows.iloc[i : i + batch]
+                x = np.zeros((len(part), channels, width))
+                for k, feat in enumerate(part.feat):
+                    x[k][:, [f["at"] for f in feat]] = np.array([f["v"] for f in feat], float).T
+                x /= by
+                out.append(scorer(np.sign(x) * np.log1p(np.abs(x))))
+            yield pd.DataFrame({"contig": rows.contig, "position": rows.win_start, "score": np.concatenate(out) if out else []})
+
+    return windows.select("contig", "win_start", "feat").mapInPandas(run, "contig string, position bigint, score double")
+
+
 def balanced(df: DataFrame, keys: list[str], label: str, order: Column, without: int = 100) -> DataFrame:
     """As many rows of each label as there are positives in a group; ``without`` of them if there are none."""
     pos = df.groupBy(*keys).agg(F.count_if(F.col(label) == 1).alias("_pos"))

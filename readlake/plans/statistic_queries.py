@@ -111,18 +111,20 @@ def smp_01_balanced_sample(spark, sf_dir):
     return models.balanced(e, ["file"], "label", F.md5(F.col("event_id").cast("string"))).select("file", "label", "event_id")
 
 
-@query("select event_id, round(-0.20 * pow(1 - pt, 2) * ln(pt), 6) as loss from (select event_id, case when event_type = 'error' then 0.01 + value_ / 500 else 1 - (0.01 + value_ / 500) end as pt from (select *, least(value, 490) as value_ from events))")
+@query("""with x as (select event_id, event_type = 'error' as y, greatest(1e-6, least(1 - 1e-6, value / 500)) as p from events), t as (select *, case when y then p else 1 - p end as pt from x)
+ select event_id, round(-(case when y then 0.20 else 0.80 end)::DOUBLE * pow(1 - pt, 2) * ln(pt), 6) as loss from t""")
 def udf_05_focal_loss(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (0.01 + F.least("value", F.lit(490)) / 500).alias("p"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 500).alias("p"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y"))
     return e.select("event_id", F.round(fn.focal_loss("p", "y"), 6).alias("loss"))
 
 
 @query()
 def udf_01_window_scorer(spark, sf_dir):
-    from readlake.operators import pileup
+    """Windows of nine channels by the network, with weights from a seed."""
+    from readlake.operators import networks, pileup
 
-    w = pileup.windows(pileup.depth(view(spark, sf_dir, "reads")), "depth")
-    return models.score_windows(w)
+    sites = pileup.ratios(pileup.site_channels(view(spark, sf_dir, "reads"), [(-F.col("mapq")).alias("mapq"), "qname", "ref_start", "ref_end", "tlen", "cigar"], 20))
+    return models.score_channels(pileup.channel_windows(sites), networks.WindowNet.initial(filters=16, dense=32, reduction=4), [1.0] * 9)
 
 
 @query()
