@@ -38,11 +38,6 @@ def src_15_master_var(spark, sf_dir):
     return fmt.master_var(table(spark, sf_dir, "orders").select(F.expr(f"concat_ws('\t', {text})").alias("value")))
 
 
-@query("select n_name as name from nation where n_name not in (select r_name from region)")
-def src_22_missing_files(spark, sf_dir):
-    """Names that are expected and not listed."""
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).join(table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), "name", "left_anti")
-
 
 @query("select contig, count(*) as n, sum(tlen)::BIGINT as tlen from reads group by contig")
 def snk_01_blocks(spark, sf_dir):
@@ -75,11 +70,6 @@ def snk_05_contact_sheets(spark, sf_dir):
     return sinks.sheets(dots, "concat(contig, ':', win)").select("key", F.octet_length("png").alias("bytes"), F.hex(F.substr("png", F.lit(2), F.lit(3))).alias("kind"), F.sha2("png", 256).alias("sha256"))
 
 
-@query("select contig, '@' || qname || chr(10) || repeat('A', mapq) || chr(10) || '+' || chr(10) || repeat('I', mapq) as record from reads where contig = 'chr2' and ref_start < 900 and ref_end > 500")
-def snk_10_region_records(spark, sf_dir):
-    r = view(spark, sf_dir, "reads").filter("contig = 'chr2' and ref_start < 900 and ref_end > 500")
-    return r.withColumn("seq", F.expr("repeat('A', mapq)")).withColumn("q", F.expr("repeat('I', mapq)")).select("contig", sinks.fastq("qname", "seq", "q").alias("record"))
-
 
 @query("select asm_status as status, count(*) as n, sum(raw_support)::BIGINT as support from evidence group by asm_status")
 def snk_13_json_records(spark, sf_dir):
@@ -182,10 +172,6 @@ def dec_05_stage_reuse(spark, sf_dir):
     return sinks.stage(spark, path, lambda: spark.range(0).select(F.lit("").alias("status"), F.col("id").alias("n")))
 
 
-@query(f"select region, case when bases % 5 = 0 then 'cached' when bases < 30 then 'empty' when bases > 60 then 'oversized' else 'assemble' end as status from ({_REGIONS})")
-def dec_07_region_status(spark, sf_dir):
-    return _regions(spark, sf_dir).select("region", sinks.region_status(F.col("bases"), F.col("bases") % 5 == 0, 30, 60).alias("status"))
-
 
 @query("select r_name as name, r_regionkey <> 4 as found, r_regionkey < 3 as valid from region")
 def dec_10_manifest(spark, sf_dir):

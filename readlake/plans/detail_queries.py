@@ -210,3 +210,80 @@ def dec_08_cleanup(spark, sf_dir):
         spark.range(1).write.parquet(path)
     sinks.wipe(spark, [path for path, keep in paths.values() if not keep])
     return spark.createDataFrame([(n, sinks.done(spark, path)) for n, (path, _) in paths.items()], "name string, kept boolean")
+
+
+@query("select contig, coalesce(case when mapq > 40 then 1 end, 0)::INT as label, count(*) as n from reads where contig in ('chr1', 'chr3') group by 1, 2")
+def src_11_block_scan(spark, sf_dir):
+    """Written blocks of the contigs that are asked for under other names; a missing label is 0."""
+    path = sinks.scratch(spark, "blocks")
+    sinks.write_blocks(view(spark, sf_dir, "reads").withColumn("label", F.when(F.col("mapq") > 40, 1)), path)
+    return fmt.read_blocks(spark, path, ["1", "chr3", "MT"]).groupBy("contig", F.coalesce("label", F.lit(0)).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("select n_name as name from nation where n_name not in (select r_name from region where r_regionkey <> 2)")
+def src_22_missing_files(spark, sf_dir):
+    """Names that a bundle should have and its folder does not list."""
+    path = sinks.scratch(spark, "bundle")
+    table(spark, sf_dir, "region").filter("r_regionkey <> 2").select(F.lit("x").alias("value"), F.col("r_name").alias("name")).write.partitionBy("name").text(path)
+    return sinks.missing(spark, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), path)
+
+
+@query(f"""with s as (select *, substring(repeat('ACGTTGCA', 40), 1, query_len::INT) as seq from alignments where contig = 'chr2' and ref_start < 900 and ref_end > 500)
+ select unnest(['@' || qname::VARCHAR, seq, '+', repeat('I', length(seq))]) as value from s""")
+def snk_10_region_records(spark, sf_dir):
+    """Reads of a region written as four lines each, and the lines read again."""
+    from readlake.operators import pileup
+
+    r = pileup.overlapping(view(spark, sf_dir, "alignments"), "chr2", 500, 900).withColumn("seq", F.expr("substring(repeat('ACGTTGCA', 40), 1, cast(query_len as int))")).withColumn("q", F.expr("repeat('I', length(seq))"))
+    path = sinks.scratch(spark, "fastq")
+    r.select(sinks.fastq("qname", "seq", "q").alias("value")).write.text(path)
+    return spark.read.text(path)
+
+
+_PARTS = "select contig || ':' || (start_pos // 1000)::VARCHAR as region, start_pos::VARCHAR || '-' || end_pos::VARCHAR || '.fa' as name, any_value('>' || start_pos::VARCHAR) as content from bed_b group by 1, 2"
+
+
+@query(f"select region, count(*) as files, sum(length(content))::BIGINT as bytes, string_agg(name, ',' order by name) as names from ({_PARTS}) group by region")
+def snk_12_region_archives(spark, sf_dir):
+    """An archive of each region's files with a manifest, written, and what is found in it when it is opened again."""
+    b = view(spark, sf_dir, "bed_b").select(F.concat("contig", F.lit(":"), F.floor(F.col("start_pos") / 1000).cast("string")).alias("region"), F.concat(F.col("start_pos").cast("string"), F.lit("-"), F.col("end_pos").cast("string"), F.lit(".fa")).alias("name"), F.concat(F.lit(">"), F.col("start_pos").cast("string")).alias("content")).distinct()
+    path = sinks.scratch(spark, "archives")
+    sinks.archives(b).write.parquet(path)
+    return sinks.archived(spark.read.parquet(path)).groupBy("region").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+
+
+_REGIONS = "select contig || ':' || (start_pos // 1000)::VARCHAR as region, sum(end_pos - start_pos)::BIGINT as bases from bed_b group by 1"
+
+
+@query(f"select region, case when bases % 5 = 0 then 'cached' when bases < 30 then 'empty' when bases > 60 then 'oversized' else 'assembled' end as status from ({_REGIONS})")
+def dec_07_region_status(spark, sf_dir):
+    """What becomes of regions: known ones are reused, empty and oversized ones left out, the others' jobs run (here by a tool that does nothing)."""
+    b = view(spark, sf_dir, "bed_b").withColumn("region", F.concat("contig", F.lit(":"), F.floor(F.col("start_pos") / 1000).cast("string")))
+    r = b.groupBy("region").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("bases"))
+    jobs = r.select("region", sinks.region_status(F.col("bases"), F.col("bases") % 5 == 0, 30, 60).alias("status"), sinks.job_text(F.col("region"), F.concat("region", F.lit(".fq"))).alias("job"))
+    return sinks.run_jobs(jobs, "true")
+
+
+_LABELLED = "with x as (select contig, (ref_start // 1000) * 1000 as start_pos, count(*) as n from reads group by 1, 2), l as (select x.*, (exists (select 1 from bed_b b where b.contig = x.contig and b.start_pos < x.start_pos + 1000 and b.end_pos > x.start_pos and b.start_pos % 7 < 2))::INT as label from x)"
+
+
+@query(f"""{_LABELLED}, p as (select contig, count(*) filter (where label = 1) as pos from l group by contig), k as (select l.*, p.pos, row_number() over (partition by l.contig, label order by md5(l.contig || ':' || start_pos::VARCHAR)) as i from l join p on p.contig = l.contig)
+ select contig, start_pos, n, label from k where i <= case when pos = 0 then 100 else pos end""")
+def udf_07_labelled_windows(spark, sf_dir):
+    """Windows labelled by what overlaps them, as many of each label in a contig."""
+    from readlake.operators import models
+
+    x = view(spark, sf_dir, "reads").groupBy("contig", (F.floor(F.col("ref_start") / 1000) * 1000).alias("start_pos")).agg(F.count("*").alias("n")).withColumn("end_pos", F.col("start_pos") + 1000)
+    labelled = iv.overlap_join(x, view(spark, sf_dir, "bed_b").filter("start_pos % 7 < 2"), "flag").select("contig", "start_pos", "n", F.col("hit").cast("int").alias("label"))
+    return models.balanced(labelled, ["contig"], "label", F.md5(F.concat("contig", F.lit(":"), F.col("start_pos").cast("string")))).select("contig", "start_pos", "n", "label")
+
+
+@query("select n_name as name, n_nationkey % 3 < 2 as found from nation")
+def udf_04_restored_weights(spark, sf_dir):
+    """Weights under wrappers' prefixes by the names that a model wants, and which of these are missing."""
+    from readlake.operators import models
+
+    names = [(r.n_name, r.n_nationkey) for r in table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()]  # 25 rows, a fixed table
+    saved = {("module." if k % 3 else "module.model.") + n: k for n, k in names if k % 3 < 2}
+    have, absent = models.restore(saved, [n for n, _ in names])
+    return spark.createDataFrame([(n, n in have and n not in absent) for n, _ in names], "name string, found boolean")

@@ -76,11 +76,6 @@ def src_09_candidates(spark, sf_dir):
     return normalise_candidates(raw)
 
 
-@query("select contig, coalesce(case when mapq > 40 then 1 end, 0)::INT as label, count(*) as n from reads where contig in ('chr1', 'chr2') group by 1, 2")
-def src_11_labels_default(spark, sf_dir):
-    r = view(spark, sf_dir, "reads").filter(F.col("contig").isin("chr1", "chr2")).withColumn("label", F.when(F.col("mapq") > 40, 1))
-    return r.groupBy("contig", F.coalesce("label", F.lit(0)).alias("label")).agg(F.count("*").alias("n"))
-
 
 @query("select chr as contig, position as start_pos, position + 1000 as end_pos from score_windows")
 def src_17_candidate_ranges(spark, sf_dir):

@@ -131,12 +131,3 @@ def udf_01_window_scorer(spark, sf_dir):
 def udf_06_parameter_search(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("value") / 100).alias("x"), F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("y"))
     return models.grid_search(e, [0.01, 0.1, 0.5], [0.0, 0.01])
-
-
-@query(f"""with x as (select contig, (ref_start // 1000) * 1000 as start_pos, count(*) as n from reads group by 1, 2), l as (select x.*, exists (select 1 from bed_b b where b.contig = x.contig and b.start_pos < x.start_pos + 1000 and b.end_pos > x.start_pos) as label from x)
- select contig, start_pos, n, label::INT as label from l""")
-def udf_07_labelled_windows(spark, sf_dir):
-    from readlake.operators import intervals as iv
-
-    x = view(spark, sf_dir, "reads").groupBy("contig", (F.floor(F.col("ref_start") / 1000) * 1000).alias("start_pos")).agg(F.count("*").alias("n")).withColumn("end_pos", F.col("start_pos") + 1000)
-    return iv.overlap_join(x, view(spark, sf_dir, "bed_b"), "flag").select("contig", "start_pos", "n", F.col("hit").cast("int").alias("label"))

@@ -96,11 +96,6 @@ def snk_11_merged_reads(spark, sf_dir):
     return spark.read.parquet(sinks.merge_sorted(spark, paths, ["contig", "ref_start"], batch=3))
 
 
-@query("select contig, status, count(*) as n from (select contig, case when qual % 3 = 0 then 'assembled' when qual % 3 = 1 then 'empty_reads' else 'skip_pred' end as status from bed_a) group by contig, status")
-def snk_12_region_manifest(spark, sf_dir):
-    s = F.when(F.col("qual") % 3 == 0, "assembled").when(F.col("qual") % 3 == 1, "empty_reads").otherwise("skip_pred")
-    return view(spark, sf_dir, "bed_a").groupBy("contig", s.alias("status")).agg(F.count("*").alias("n"))
-
 
 @query("with n as (select *, greatest(ref_len, alt_len) as hi from variants) select contig, pos, greatest(ref_len - k, 1) as ref_left, greatest(alt_len - k, 1) as alt_left from (select *, case when ref_len = 1 or alt_len = 1 then least(ref_len, alt_len) - 1 else least(ref_len, alt_len) - 1 end as k from n) where alt_len = 1 or ref_len = 1")
 def prj_19_allele_trim(spark, sf_dir):

@@ -28,6 +28,13 @@ def resolve_contigs(names: DataFrame, listed: DataFrame) -> DataFrame:
     return out.select("name", F.upper(strip(trimmed)).alias("label"), "listed", "listed_mt", as_listed.alias("as_listed"), F.replace("name", F.lit("chr"), F.lit("")).alias("bare"))
 
 
+def read_blocks(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Blocks (by contig) of the contigs of these names, with or without chr, M and MT as one; only their folders are read."""
+    plain = {n.strip().removeprefix("chr") for n in names}
+    plain |= {"M", "MT"} if plain & {"M", "MT"} else set()
+    return spark.read.parquet(path).filter(F.col("contig").isin(*sorted(plain | {"chr" + p for p in plain})))
+
+
 def parse_runs(lines: DataFrame) -> DataFrame:
     """Homopolymer runs of BED text (contig, start, end, base, run): contig, pos (from 1), base, run and key (contig:posbase)."""
     f = F.split("value", "\t")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 import shutil
 import struct
 import subprocess
+import tarfile
 import tempfile
 import uuid
 import zlib
@@ -110,6 +113,46 @@ def assembly_outputs(files: DataFrame, keys: list[str], name: str, changed: Colu
     return files.groupBy(*keys).agg(F.count_distinct(kept).alias("outputs"), F.min(kept).alias("first"), F.max_by(name, changed).alias("latest"))
 
 
+def missing(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
+    """``wanted`` (name) without the names of the folders ``name=...`` under ``path`` that hold a file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path")
+    have = files.select(F.url_decode(F.regexp_extract("path", r"/name=([^/]+)/", 1)).alias("name")).distinct()
+    return wanted.join(have, "name", "left_anti")
+
+
+def archives(files: DataFrame) -> DataFrame:
+    """One tar.gz for each region of (region, name, content): region, manifest (tab separated name and bytes), data. A region's
+    files are held by one task, as its archive is one value; names come in order and carry no time, so reruns agree."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("name")
+        out = io.BytesIO()
+        with gzip.GzipFile(fileobj=out, mode="wb", mtime=0) as zipped, tarfile.open(fileobj=zipped, mode="w") as tar:
+            for name, content in zip(rows.name, rows.content, strict=True):
+                info = tarfile.TarInfo(name)
+                data = content.encode()
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        manifest = "".join(f"{n}\t{len(c.encode())}\n" for n, c in zip(rows.name, rows.content, strict=True))
+        return pd.DataFrame({"region": [rows.region.iloc[0]], "manifest": [manifest], "data": [out.getvalue()]})
+
+    return files.groupBy("region").applyInPandas(pack, "region string, manifest string, data binary")
+
+
+def archived(packed: DataFrame) -> DataFrame:
+    """region, name, bytes of the files in archives."""
+
+    def unpack(batches):
+        for rows in batches:
+            found = []
+            for region, data in zip(rows.region, rows.data, strict=True):
+                with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
+                    found += [(region, m.name, m.size) for m in tar.getmembers()]
+            yield pd.DataFrame(found, columns=["region", "name", "bytes"])
+
+    return packed.select("region", "data").mapInPandas(unpack, "region string, name string, bytes bigint")
+
+
 def progress_line(current: Column, total: Column, width: int = 20) -> Column:
     """``done n of m [####....] p%``."""
     share = F.coalesce(F.least(F.try_divide(current.cast("double"), total), F.lit(1.0)), F.lit(0.0))
