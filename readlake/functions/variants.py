@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def genotype(gt) -> Column:
@@ -124,30 +124,34 @@ def _field(fmt: str, sample: str, name: str) -> Column:
     return F.when(at > 0, F.transform(F.split(F.get(F.split(sample, ":"), (at - 1).cast("int")), ","), _number))
 
 
-def depths(info: str = "info", fmt: str = "format", sample: str = "sample") -> Column:
-    """Struct depth, ref, alt, forward, reverse, four (counts by strand: ref +, ref -, alt +, alt -) of one call.
+def with_depths(rows: DataFrame) -> DataFrame:
+    """``rows`` (info, format, sample) with _depth, _ref, _alt and _four (counts by strand: ref +, ref -, alt +, alt -) of each call.
 
     Fields of INFO that callers have of their own (DP4, CGDP2, SRF to SAR, NF to TCR) go before ADF and ADR, these before
-    AD, and AD before FORMAT's DP; else DP of INFO, or -1."""
-    rest = lambda v: F.aggregate(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    adf, adr, ad, dp = (_field(fmt, sample, n) for n in ("ADF", "ADR", "AD", "DP"))
-    strands = adf.isNotNull() & adr.isNotNull()
-    dp4 = F.transform(F.split(F.nullif(F.regexp_extract(info, r"DP4=(\d+,\d+,\d+,\d+)", 1), F.lit("")), ","), _number)
-    cg = F.transform(F.split(F.nullif(F.regexp_extract(info, r"CGDP2=(\d+,\d+)", 1), F.lit("")), ","), _number)
-    four_tags = [_info(info, n) for n in ("SRF", "SRR", "SAF", "SAR")]
-    all_four = four_tags[0].isNotNull() & four_tags[1].isNotNull() & four_tags[2].isNotNull() & four_tags[3].isNotNull()
+    AD, and AD before FORMAT's DP; else DP of INFO, or -1. Texts are read once, into columns that the rules then share."""
+    numbers = lambda c: F.transform(F.split(F.nullif(c, F.lit("")), ","), _number)
     platypus = r"NF=([\d,]+).*NR=([\d,]+).*TCF=(\d+).*TCR=(\d+)"
-    part = lambda i: F.transform(F.split(F.nullif(F.regexp_extract(info, platypus, i), F.lit("")), ","), _number)
+    read = {f"_{n.lower()}": _field("format", "sample", n) for n in ("ADF", "ADR", "AD", "DP")} | {f"_{n.lower()}": _info("info", n) for n in ("SRF", "SRR", "SAF", "SAR")}
+    read |= {"_dp4": numbers(F.regexp_extract("info", r"DP4=(\d+,\d+,\d+,\d+)", 1)), "_cg": numbers(F.regexp_extract("info", r"CGDP2=(\d+,\d+)", 1)), "_plain": _info("info", "DP")}
+    read |= {f"_pl{i}": numbers(F.regexp_extract("info", platypus, i)) for i in (1, 2, 3, 4)}
+    c = F.col
+    strands = c("_adf").isNotNull() & c("_adr").isNotNull()
+    rest = lambda v: F.aggregate(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    tags = [c(f"_{n}") for n in ("srf", "srr", "saf", "sar")]
     # The allele with most reads of both strands, the first of equals; negative reference counts are 0.
-    top = F.array_max(F.transform(F.arrays_zip(part(1).alias("f"), part(2).alias("r")), lambda x, i: F.struct((x["f"] + x["r"]).alias("n"), (-i).alias("i"), x["f"].alias("f"), x["r"].alias("r"))))
+    top = F.array_max(F.transform(F.arrays_zip(c("_pl1").alias("f"), c("_pl2").alias("r")), lambda x, i: F.struct((x["f"] + x["r"]).alias("n"), (-i).alias("i"), x["f"].alias("f"), x["r"].alias("r"))))
     zero = F.lit(0).cast("bigint")
-    from_pl = F.array(F.greatest(part(3)[0] - top["f"], zero), F.greatest(part(4)[0] - top["r"], zero), top["f"], top["r"])
-    four = F.when(dp4.isNotNull(), dp4).when(cg.isNull() & all_four, F.array(*four_tags)).when(cg.isNull() & part(1).isNotNull(), from_pl).when(strands, F.array(adf[0], adr[0], rest(adf), rest(adr)))
-    ref = F.when(four.isNotNull(), four[0] + four[1]).when(cg.isNotNull(), cg[0]).when(~strands, ad[0])
-    alt = F.when(four.isNotNull(), four[2] + four[3]).when(cg.isNotNull(), cg[1]).when(~strands, rest(ad))
-    plain = F.when(~strands & ad.isNull() & dp.isNotNull(), dp[0]).otherwise(F.coalesce(_info(info, "DP"), F.lit(-1).cast("bigint")))
-    depth = F.when(ref.isNotNull() & alt.isNotNull(), ref + alt).otherwise(plain)
-    return F.struct(depth.alias("depth"), ref.alias("ref"), alt.alias("alt"), four[2].alias("forward"), four[3].alias("reverse"), four.alias("four"))
+    from_pl = F.array(F.greatest(c("_pl3")[0] - c("_top.f"), zero), F.greatest(c("_pl4")[0] - c("_top.r"), zero), c("_top.f"), c("_top.r"))
+    own = c("_cg").isNull()
+    four = F.when(c("_dp4").isNotNull(), c("_dp4")).when(own & tags[0].isNotNull() & tags[1].isNotNull() & tags[2].isNotNull() & tags[3].isNotNull(), F.array(*tags)).when(
+        own & c("_pl1").isNotNull(), from_pl).when(strands, F.array(c("_adf")[0], c("_adr")[0], rest(c("_adf")), rest(c("_adr"))))
+    known = c("_four").isNotNull()
+    ref = F.when(known, c("_four")[0] + c("_four")[1]).when(~own, c("_cg")[0]).when(~strands, c("_ad")[0])
+    alt = F.when(known, c("_four")[2] + c("_four")[3]).when(~own, c("_cg")[1]).when(~strands, rest(c("_ad")))
+    plain = F.when(~strands & c("_ad").isNull() & c("_dp").isNotNull(), c("_dp")[0]).otherwise(F.coalesce("_plain", F.lit(-1).cast("bigint")))
+    out = rows.withColumns(read).withColumn("_top", top).withColumn("_four", four).withColumns({"_ref": ref, "_alt": alt})
+    out = out.withColumn("_depth", F.when(c("_ref").isNotNull() & c("_alt").isNotNull(), c("_ref") + c("_alt")).otherwise(plain))
+    return out.select(*rows.columns, "_depth", "_ref", "_alt", "_four")
 
 
 def allele_start(ref: Column, alt: Column) -> Column:

@@ -15,15 +15,15 @@ TYPES = ("ts", "tv", "mnp", "ins", "del")
 def annotate(rows: DataFrame, beds: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``rows`` (contig, pos from 1, ref, info, format, sample) with dp, ds (alternate reads on the rarer strand), ab (their
     percentage), fs (strand bias) and bed1 ... for each of ``beds``; null where the depths do not say."""
-    d = rows.withColumn("_d", vf.depths()).withColumn("_four", F.col("_d.four"))
+    d = vf.with_depths(rows)
     given = F.regexp_extract("info", r";FS=([^;\t]+)", 1).try_cast("double")
     # A test for each table of counts, not for each call.
     four = [F.col("_four")[i].alias(c) for i, c in enumerate(("_a", "_b", "_c", "_e"))]
-    tables = d.filter("_four is not null").select(*four).distinct().withColumn("_p", vf.fisher_tails("_a", "_b", "_c", "_e")["two"])
+    tables = d.select(*four).distinct().withColumn("_p", vf.fisher_tails("_a", "_b", "_c", "_e")["two"])
     both = d.join(tables, (F.col("_four")[0] == F.col("_a")) & (F.col("_four")[1] == F.col("_b")) & (F.col("_four")[2] == F.col("_c")) & (F.col("_four")[3] == F.col("_e")), "left")
     p = F.coalesce(F.pow(F.lit(10.0), -0.1 * given), F.col("_p"))
-    ab = F.when(F.col("_d.alt").isNotNull(), F.when(F.col("_d.depth") == 0, 0).otherwise(F.floor(100 * F.col("_d.alt") / F.col("_d.depth") + 0.499)))
-    out = both.select(*rows.columns, F.col("_d.depth").alias("dp"), F.least("_d.forward", "_d.reverse").alias("ds"), ab.cast("bigint").alias("ab"), F.when(p.isNotNull(), phred(p)).alias("fs"))
+    ab = F.when(F.col("_alt").isNotNull(), F.when(F.col("_depth") == 0, 0).otherwise(F.floor(100 * F.col("_alt") / F.col("_depth") + 0.499)))
+    out = both.select(*rows.columns, F.col("_depth").alias("dp"), F.least(F.col("_four")[2], F.col("_four")[3]).alias("ds"), ab.cast("bigint").alias("ab"), F.when(p.isNotNull(), phred(p)).alias("fs"))
     for i, bed in enumerate(beds, 1):
         at = out.withColumn("start_pos", F.col("pos") - 1).withColumn("end_pos", F.col("pos") - 1 + F.length("ref"))
         out = iv.overlap_join(at, bed, "flag").drop("start_pos", "end_pos").withColumn(f"bed{i}", F.col("hit").cast("int")).drop("hit")
@@ -40,7 +40,8 @@ def filters(annotated: DataFrame, beds: int = 0, min_qual: float = 30, min_dp: i
     """``annotated`` calls of ``min_qual`` and more with ``filter``: DPhigh (above the mean by ``coefficient`` of its root), DPlow,
     noDP, FShigh, DSlow (changed bases only), ABlow and BEDn, or a point. -1 as depth counts as low."""
     rows = annotated.filter(F.col("qual") >= min_qual)
-    mean = rows.filter("dp >= 0").agg(F.avg("dp").alias("_mean"))
+    # No filter here: it would be pushed below the annotation, and take all of its text with it.
+    mean = rows.agg(F.avg(F.when(F.col("dp") >= 0, F.col("dp"))).alias("_mean"))
     gap = F.exists(F.split("alt", ","), lambda a: F.length(a) != F.length("ref"))
     dp, least = F.col("dp"), F.when(gap, min_ab if min_ab_gap is None else min_ab_gap).otherwise(min_ab)
     flags = [F.when(dp > F.col("_mean") + coefficient * F.sqrt("_mean"), "DPhigh").when(dp < min_dp, "DPlow").when(dp.isNull(), "noDP"), F.when(F.col("fs") > max_fs, "FShigh"),

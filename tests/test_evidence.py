@@ -83,7 +83,7 @@ def test_atoms_by_cigar(spark):
 def test_depths(spark):
     rows = [("DP=9;DP4=1,2,3,4", "GT", "0/1"), ("CGDP2=5,6", "GT:ADF:ADR", "0/1:1,2:3,4"), ("CGDP2=5,6", "GT:AD", "0/1:9,9"), ("NF=1,5;NR=2,1;TCF=3;TCR=9", "GT", "0/1"), ("DP=7", "GT:DP", "0/1:8"), (".", "GT", "0/1"), ("DP=3", "GT:AD", "0/1:4,1,2")]
     df = spark.createDataFrame(rows, "info string, format string, sample string")
-    got = [(r.x.depth, r.x.ref, r.x.alt) for r in df.select(vf.depths().alias("x")).collect()]
+    got = [(r._depth, r._ref, r._alt) for r in vf.with_depths(df).collect()]
     # Of NF to TCR the second allele has most reads; the reference's forward count would be -2 and is 0.
     assert got == [(10, 3, 7), (10, 4, 6), (11, 5, 6), (14, 8, 6), (8, None, None), (-1, None, None), (7, 4, 3)]
 
