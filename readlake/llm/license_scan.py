@@ -15,6 +15,7 @@ scanned each alone, since rows are told apart by a row identity and not by doc_i
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,28 +27,60 @@ from readlake.llm.common import map_batches, with_uid
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Public wordings of common licenses: notices and characteristic passages, by label.
+# Public wordings of common licenses by label: short notices, characteristic passages and whole texts.
+_WARRANTY = "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_FREE = "you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation"
 TEMPLATES = {
     "mit": [
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement " + _WARRANTY,
     ],
     "apache-2.0": [
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
-        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        _FREE.replace("{} ", ""),
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ],
+    "lgpl": ["under the terms of the gnu lesser general public license as published by the free software foundation", _FREE.format("lesser")],
+    "agpl": ["under the terms of the gnu affero general public license as published by the free software foundation", _FREE.format("affero")],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", _BSD,
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
     ],
-    "lgpl": ["under the terms of the gnu lesser general public license as published by the free software foundation"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+    ],
+    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "bsl-1.0": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"],
 }
 #: Word k-grams of templates and of base phrases.
 K, K_BASE = 3, 2
@@ -55,6 +88,9 @@ K, K_BASE = 3, 2
 SLACK = 3
 #: Least share of a template's words in a verified span; above 6 of 7, so that one word tells short notices apart.
 LEAST = 0.86
+#: Least share of a template's k-grams that vote for a candidate, so that a few common words do not call for verification.
+#: A span with ``LEAST`` of the words has over half of them, less two for each word put in.
+VOTES = 0.25
 #: Bound on the template positions, which are broadcast.
 MOST_GRAMS = 100_000
 
@@ -129,6 +165,7 @@ def spans(documents: DataFrame, base: dict[str, str] = BASE, templates: dict[str
     rows, known = _library(base, templates)
     lib = spark.createDataFrame(rows + [(_SENTINEL, -1, 0, 0)], "hash bigint, template int, t_pos bigint, k int")
     sizes = F.create_map(*[F.lit(x) for i, t in enumerate(known) for x in (i, len(t["words"]))])
+    wanted = F.create_map(*[F.lit(x) for i, t in enumerate(known) for x in (i, 1 if t["k"] == K_BASE else max(1, math.ceil(VOTES * (len(t["words"]) - K + 1))))])
     profile = map_batches(with_uid(documents).select("_uid", "doc_id", "text"), _profile, "_uid bigint, doc_id bigint, n_words bigint, words array<bigint>, grams array<bigint>", 2000)
     hits = (
         profile.select("_uid", "doc_id", "n_words", "words", F.posexplode("grams").alias("p", "hash"))
@@ -154,6 +191,7 @@ def spans(documents: DataFrame, base: dict[str, str] = BASE, templates: dict[str
         votes.withColumn("new", new).withColumn("cluster", F.sum("new").over(order))
         .groupBy("_uid", "doc_id", "n_words", "template", "cluster")
         .agg(F.sum("votes").alias("votes"), F.max_by(F.struct("seg_at", "seg", "diag"), F.struct("votes", -F.col("diag"))).alias("best"))
+        .filter((F.col("template") < 0) | (F.col("votes") >= wanted[F.col("template")]))
         .select("_uid", "doc_id", "n_words", "template", "votes", "best.*")
     )
     shared = spark.sparkContext.broadcast(known)
