@@ -116,7 +116,8 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 def with_tricky(conversations: DataFrame) -> DataFrame:
     """Adds conversation -7."""
-    own = conversations.sparkSession.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
+    turn = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))])).alias("x")
+    own = conversations.sparkSession.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), turn).select("conv_id", "x.turn", "x.role", F.lit(TRICKY).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(own)
 
 
