@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's ``docs``. All but the last return the columns of
 ``documents``.
+
+Defined results: null or empty text is scored by the classifier as a text without words; what of it is
+kept has an empty set, links with nothing, is never a hit, has size 0 and so is not taken by the
+mix. Rows whose doc_id is null stay apart unless their texts are near copies; repeated rows are copies
+of each other, of which one stays. An empty table passes every stage as one, and the last writes a
+manifest without shards. Columns beyond doc_id, text and source are carried and not read, whatever
+their names, but for n_chars, which follows a text that the mix cuts.
 """
 
 from __future__ import annotations
