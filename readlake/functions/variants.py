@@ -130,10 +130,10 @@ def with_depths(rows: DataFrame) -> DataFrame:
     Fields of INFO that callers have of their own (DP4, CGDP2, SRF to SAR, NF to TCR) go before ADF and ADR, these before
     AD, and AD before FORMAT's DP; else DP of INFO, or -1. Texts are read once, into columns that the rules then share."""
     numbers = lambda c: F.transform(F.split(F.nullif(c, F.lit("")), ","), _number)
-    platypus = r"NF=([\d,]+).*NR=([\d,]+).*TCF=(\d+).*TCR=(\d+)"
+    by_allele = r"NF=([\d,]+).*NR=([\d,]+).*TCF=(\d+).*TCR=(\d+)"
     read = {f"_{n.lower()}": _field("format", "sample", n) for n in ("ADF", "ADR", "AD", "DP")} | {f"_{n.lower()}": _info("info", n) for n in ("SRF", "SRR", "SAF", "SAR")}
     read |= {"_dp4": numbers(F.regexp_extract("info", r"DP4=(\d+,\d+,\d+,\d+)", 1)), "_cg": numbers(F.regexp_extract("info", r"CGDP2=(\d+,\d+)", 1)), "_plain": _info("info", "DP")}
-    read |= {f"_pl{i}": numbers(F.regexp_extract("info", platypus, i)) for i in (1, 2, 3, 4)}
+    read |= {f"_pl{i}": numbers(F.regexp_extract("info", by_allele, i)) for i in (1, 2, 3, 4)}
     c = F.col
     strands = c("_adf").isNotNull() & c("_adr").isNotNull()
     rest = lambda v: F.aggregate(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x)
