@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from readlake.llm.common import materialize
+from readlake.llm.common import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -26,13 +26,15 @@ def _print(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, root) of every node of the edges (u, v); a root is its component's smallest id.
 
-    Each step writes its edges to the shared folder. A hub's edges are one row each, so a
-    large component needs no task that holds it whole.
+    Each step writes its edges to the shared folder. A hub's edges are one row each, and its
+    smallest neighbour is a partially aggregated minimum. In the join of both one task reads the
+    edges of a hub, a row of two numbers each; nothing holds them in memory.
     """
     at = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = _print(at)
     for _ in range(most):
-        at = materialize(_small(_large(at)).distinct(), "edges")
+        before, at = at, materialize(_small(_large(at)).distinct(), "edges")
+        discard(before)
         now = _print(at)
         if now == seen:
             break

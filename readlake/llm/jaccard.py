@@ -4,8 +4,8 @@
    and only classes are compared, so exact copies never make pairs.
 2. Prefix filter. If two sets are similar enough they share a token among the first
    ``n - ceil(t n) + 1`` of each, whatever the order of tokens, as long as it is the same for
-   both. All orders used here put rare tokens first (by a bounded table of the most
-   frequent ones) and break ties by a different hash each.
+   both. All orders used here put rare tokens first, by a sketch of the counts of all tokens
+   in all documents, and break ties by a different hash each.
 3. Classes that share a prefix token under the first order are grouped by it. Instead of all
    pairs of a group, each round compares its members with a few leaders, where sizes and the
    token's place in both sets leave room for enough shared tokens after it. Verified links
@@ -13,19 +13,20 @@
    Groups that are not settled get their missing pairs in later rounds: small ones all
    at once, large ones with more leaders each round, until none is left. So
    no link between different components is missed, and no cap drops a pair.
-4. Candidates are filtered before verification: by size; by the number of tokens that
-   somewhat longer prefixes under the first order must share; and by sharing a prefix
-   token under every other order. Survivors are verified on the full sets, which come from
-   a second pass over the texts of candidates only (a Bloom filter of fixed size keeps
-   others out of the shuffle).
+4. Candidates are filtered before their sets are fetched: by size; by the number of tokens
+   that somewhat longer prefixes under the first order must share; and by sharing a prefix
+   token under every other order. Prefixes of all orders travel with the classes, 32 bits a
+   token. Only pairs that pass every order are verified, on the full sets, which come from
+   a second pass over the texts of candidates (a Bloom filter of fixed size keeps others out
+   of the shuffle).
 
 The result is the component of each document under the links (100 * intersection >=
 ``percent`` * union), which all-pairs verification would give as well.
 
 Defined results: null or blank text has an empty set and links with nothing; a text with
 fewer words than ``k`` is one shingle. Repeated rows are copies of each other. Sets are
-compared by 64-bit shingle hashes; classes by 64 bits, whose collisions a second 64-bit
-hash detects (the job then fails rather than merging them).
+compared by 64-bit shingle hashes. Classes have 128 bits: 64 name a class, and where the other
+64 show that one name stands for several, these are named anew from both halves.
 """
 
 from __future__ import annotations
@@ -37,13 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from readlake.llm import bytewise
-from readlake.llm.common import broadcast_if_small, map_batches, materialize
+from readlake.llm.common import BROADCAST_BYTES, broadcast_if_small, discard, free_names, map_batches, materialize, reduce_arrays, release, salted_join
 from readlake.llm.components import components
 
-#: Entries of the table of frequent tokens, which orders tokens and is broadcast.
-FREQUENT = 1 << 18
-#: Documents that hold a token at least, for it to be in the table.
-OFTEN = 8
+#: Cells of the sketch of token counts, which orders tokens; a byte each when it is broadcast.
+CELLS = 1 << 22
 #: Token orders: one that groups, and the others that candidates must pass.
 ORDERS = 3
 #: Groups of up to so many classes get all their missing pairs in one round.
@@ -68,16 +67,19 @@ def shingles(w: bytewise.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g, np.concatenate([[0], np.cumsum(size)])
 
 
-def _classes(g: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each row's multiset of shingles."""
+def _classes(g: np.ndarray, ptr: np.ndarray, shared: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's multiset of shingles; names in ``shared`` are replaced by one from both."""
     n = np.diff(ptr).astype(U)
     out = []
     with np.errstate(over="ignore"):
         for s in (_SALTS[2], _SALTS[3]):
             sums = np.zeros(len(g) + 1, U)
             np.cumsum(bytewise.mix(g ^ s), out=sums[1:])
-            out.append(bytewise.mix(sums[ptr[1:]] - sums[ptr[:-1]] + n * s).view(np.int64))
-    return tuple(out)
+            out.append(bytewise.mix(sums[ptr[1:]] - sums[ptr[:-1]] + n * s))
+        cls, check = out[0] & U((1 << bits) - 1), out[1]
+        again = np.isin(cls, shared)
+        cls[again] = bytewise.mix(cls[again] * _SALTS[0] ^ check[again])
+    return cls.view(np.int64), check.view(np.int64)
 
 
 def core_size(n: int, percent: int) -> int:
@@ -91,73 +93,63 @@ def more_shared(n: int) -> int:
 
 
 class Orders:
-    """Rare tokens first, by classes of frequency; ties by a hash for each order."""
+    """Rare tokens first, by the logarithm of their count; ties by a hash for each order."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.level = tokens[order], np.log2(np.maximum(counts[order], 1)).astype(U) + U(1)
+    def __init__(self, counts: np.ndarray):
+        self.level = np.log2(np.maximum(counts, 1)).astype(np.uint8)
 
     def ranks(self, g: np.ndarray, which: int) -> np.ndarray:
         """Sort keys: 6 bits of frequency, 58 of a hash."""
-        level = np.zeros(len(g), U)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, g), len(self.tokens) - 1)
-            hit = self.tokens[at] == g
-            level[hit] = self.level[at[hit]]
         with np.errstate(over="ignore"):
-            return (level << U(58)) | (bytewise.mix(g + _SALTS[which % 2] * U(which + 1)) >> U(6))
+            return (self.level[_cell(g)].astype(U) << U(58)) | (bytewise.mix(g + _SALTS[which % 2] * U(which + 1)) >> U(6))
 
-    def prefix(self, g: np.ndarray, which: int, size: int) -> np.ndarray:
-        """The first ``size`` tokens of a set."""
-        return g[np.argsort(self.ranks(g, which), kind="stable")[:size]]
 
-
-def _frequent(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """Tokens that stand more than once in the batch."""
-    parts = [shingles(w, k)[0] for w in bytewise.scan(batch.column("text"))]
-    g = np.concatenate(parts) if parts else np.empty(0, U)
-    del parts
-    g.sort()
-    # Starts of runs of two or more.
-    same = g[1:] == g[:-1]
-    first = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
-    last = np.flatnonzero(same & ~np.concatenate([same[1:], [False]]))
-    return pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(last - first + 2, pa.int64())], names=["token", "n"])
+def _cell(g: np.ndarray) -> np.ndarray:
+    return (g >> U(64 - (CELLS.bit_length() - 1))).astype(np.int64)
 
 
 def token_orders(documents: DataFrame, k: int) -> Orders:
-    """Counts of tokens that repeat within batches, of which the most frequent make the table.
-    Any table gives right results; a good one keeps common passages out of prefixes."""
-    counted = map_batches(documents.select("text"), lambda b: _frequent(b, k), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    return Orders(top["token"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64))
+    """Counts of all tokens of all documents, added up in a sketch of one count for each cell of
+    hashes. Any counts give right results; good ones keep common passages out of prefixes."""
+
+    def fill(counts: np.ndarray, batch: pa.RecordBatch) -> None:
+        for w in bytewise.scan(batch.column("text")):
+            np.add.at(counts, _cell(shingles(w, k)[0]), np.uint32(1))
+        release()
 
+    return Orders(reduce_arrays(documents.select("text"), fill, CELLS, "uint32", np.add))
 
-def _signatures(batch: pa.RecordBatch, orders: Orders, k: int, percent: int) -> pa.RecordBatch:
-    n, cls, check, tokens, ptr_out, longer = [], [], [], [], [0], []
+
+def _signatures(batch: pa.RecordBatch, orders: Orders, k: int, percent: int, shared: np.ndarray, bits: int) -> pa.RecordBatch:
+    n, cls, check, tokens, ptr_out, longer, others = [], [], [], [], [0], [], []
     first: dict[int, int] = {}
     for w in bytewise.scan(batch.column("text")):
         g, ptr = shingles(w, k)
-        c, d = _classes(g, ptr)
-        ranks = orders.ranks(g, 0)
+        c, d = _classes(g, ptr, shared, bits)
+        ranks = [orders.ranks(g, o) for o in range(ORDERS)]
         for i, x in enumerate(c.tolist()):
             # A class's tokens are needed once in a batch.
             if x in first:
                 n.append(first[x])
                 longer.append(None)
+                others.append(None)
             else:
                 a, b = ptr[i], ptr[i + 1]
-                r, at = np.unique(ranks[a:b], return_index=True)
-                own = g[a:b][at]
+                _, at = np.unique(ranks[0][a:b], return_index=True)
+                own, keys = g[a:b][at], [r[a:b][at] for r in ranks[1:]]
                 if len(own) and len(np.unique(g[a:b])) != len(own):
+                    # Two tokens have one rank.
                     own = np.unique(g[a:b])
                     own = own[np.argsort(orders.ranks(own, 0), kind="stable")]
+                    keys = [orders.ranks(own, o) for o in range(1, ORDERS)]
                 first[x] = len(own)
                 n.append(len(own))
                 size = core_size(len(own), percent)
                 tokens.append(own[:size])
                 # 32 bits do: equal tokens stay equal, and a filter may let more pass.
-                longer.append(np.sort(own[: size + more_shared(len(own)) - 1].astype(np.uint32)).tobytes() if size else None)
+                short = own.astype(np.uint32)
+                longer.append(np.sort(short[: size + more_shared(len(own)) - 1]).tobytes() if size else None)
+                others.append(b"".join(np.sort(short[np.argpartition(r, size - 1)[:size]]).tobytes() for r in keys) if size else None)
                 ptr_out.append(ptr_out[-1] + size)
                 continue
             ptr_out.append(ptr_out[-1])
@@ -165,16 +157,16 @@ def _signatures(batch: pa.RecordBatch, orders: Orders, k: int, percent: int) ->
         check.append(d)
     flat = np.concatenate(tokens) if tokens else np.empty(0, U)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.concatenate(cls)), pa.array(np.concatenate(check)), bytewise.list_array(flat.view(np.int64), np.array(ptr_out), pa.int64()), pa.array(longer, pa.binary())],
-        names=["doc_id", "n", "cls", "check", "prefix", "longer"],
+        [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.concatenate(cls)), pa.array(np.concatenate(check)), bytewise.list_array(flat.view(np.int64), np.array(ptr_out), pa.int64()), pa.array(longer, pa.binary()), pa.array(others, pa.binary())],
+        names=["doc_id", "n", "cls", "check", "prefix", "longer", "others"],
     )
 
 
 class Bloom:
     """Two bits for each id in a table of a given size."""
 
-    def __init__(self, size: int):
-        self.bits = np.zeros(size, np.uint8)
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
     def _at(self, ids: np.ndarray, i: int) -> np.ndarray:
         return (bytewise.mix(ids.view(U) + _SALTS[i]) % U(8 * len(self.bits))).astype(np.int64)
@@ -190,35 +182,16 @@ class Bloom:
 
 
 def _bloom_of(ids: DataFrame) -> Bloom:
-    """Built by partitions, which send packed filters; they are joined in two levels."""
-
-    size = min(BLOOM, max(1 << 16, 2 * ids.count()))
-
-    def build(batches):
-        b = Bloom(size)
-        for batch in batches:
-            b.add(batch.column(0).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([b.bits.tobytes()], pa.binary())], names=["bits"])
-
-    def join(batches):
-        bits = np.zeros(size, np.uint8)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                bits |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-    out = Bloom(size)
-    for r in ids.mapInArrow(build, "bits binary").repartition(8).mapInArrow(join, "bits binary").repartition(1).mapInArrow(join, "bits binary").collect():
-        out.bits |= np.frombuffer(r[0], np.uint8)
-    return out
+    size = -(-min(BLOOM, max(1 << 16, 2 * ids.count())) // 16) * 16
+    return Bloom(reduce_arrays(ids, lambda bits, batch: Bloom(bits).add(batch.column(0).to_numpy(zero_copy_only=False)), size, "uint8", np.bitwise_or))
 
 
-def _sets(batch: pa.RecordBatch, bloom: Bloom, k: int) -> pa.RecordBatch:
+def _sets(batch: pa.RecordBatch, bloom: Bloom, k: int, shared: np.ndarray, bits: int) -> pa.RecordBatch:
     """cls and its sorted set, where the filter has it."""
     found: dict[int, bytes] = {}
     for w in bytewise.scan(batch.column("text")):
         g, ptr = shingles(w, k)
-        c, _ = _classes(g, ptr)
+        c, _ = _classes(g, ptr, shared, bits)
         for i in np.flatnonzero(bloom.has(c) & (np.diff(ptr) > 0)).tolist():
             if (x := int(c[i])) not in found:
                 found[x] = np.unique(g[ptr[i] : ptr[i + 1]]).tobytes()
@@ -235,29 +208,29 @@ def _explode(batch: pa.RecordBatch, bloom: Bloom) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n.astype(np.int32)), pa.array(token[keep]), pa.array((np.flatnonzero(keep) - first).astype(np.int32))], names=["cls", "n", "token", "pos"])
 
 
-def _share(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Pairs whose longer prefixes under the first order share enough."""
+def _both(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens of ``x`` that ``y`` has, both sorted. Those that fall together in 32 bits stand twice, so none is missed."""
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _share(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Pairs whose longer prefixes under the first order share enough, and whose prefixes under every other order meet."""
     keep = []
-    for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "p", "q")), strict=True):
-        x, y = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        # Tokens that fall together in 32 bits stand twice, so none is missed.
-        keep.append(int((y[at] == x).sum()) >= min(more_shared(n), more_shared(m)))
+    for n, m, p, q, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "p", "q", "x", "y")), strict=True):
+        ok = _both(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= min(more_shared(n), more_shared(m))
+        a, b = core_size(n, percent), core_size(m, percent)
+        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        keep.append(ok and all(_both(x[o * a : (o + 1) * a], y[o * b : (o + 1) * b]) for o in range(ORDERS - 1)))
     return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(batch: pa.RecordBatch, orders: Orders, percent: int) -> pa.RecordBatch:
-    """Prefixes of the other orders, then the sets themselves."""
+def _verify(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """The sets themselves."""
     linked = []
-    last: tuple = (None, None)
     for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
         x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-        size = [core_size(len(z), percent) for z in (x, y)]
-        if last[0] != a:
-            last = (a, [orders.prefix(x, o, size[0]) for o in range(1, ORDERS)])
-        ok = all(len(np.intersect1d(p, orders.prefix(y, o, size[1]), assume_unique=True)) for o, p in enumerate(last[1], 1))
-        both = len(np.intersect1d(x, y, assume_unique=True)) if ok else 0
-        linked.append(ok and 100 * both >= percent * (len(x) + len(y) - both))
+        both = _both(x, y)
+        linked.append(100 * both >= percent * (len(x) + len(y) - both))
     return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
 
 
@@ -265,31 +238,70 @@ def _pair(a: str, b: str):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls, ...) of each document, and (id, root) of each class that links."""
+class Classes:
+    """What ``classes`` finds: ``rows`` (doc_id, n, cls, ...) of each document, ``comps`` (id, root) of
+    each class that links, and how texts are named."""
+
+    def __init__(self, rows: DataFrame, comps: DataFrame, shared: np.ndarray, bits: int):
+        self.rows, self.comps, self.shared, self.bits = rows, comps, shared, bits
+
+    def rooted(self) -> DataFrame:
+        """cls, root, docs, least doc_id and whether a doc_id is null, of each class with tokens."""
+        own = self.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("docs"))
+        return materialize(own.join(self.comps, F.col("cls") == F.col("id"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "docs", "least", "none"), "class-roots")
+
+
+def _of_roots(own: DataFrame, first) -> DataFrame:
+    """Classes of components of several documents, with what ``first`` finds in each component.
+    Classes of a large component are dealt to several tasks."""
+    roots = own.groupBy("root").agg(first.alias("first"), F.count("*").alias("members"), F.sum("docs").alias("all"))
+    return salted_join(own, materialize(roots.filter("all > 1").withColumn("several", F.lit(True)).drop("all"), "roots"), "root", "members", ["cls"]).filter("several")
+
+
+def _named(documents: DataFrame, orders, k: int, percent: int, bits: int) -> tuple[DataFrame, np.ndarray]:
+    """Signatures of all documents, after names that several classes share have been replaced."""
+    shared = np.empty(0, U)
+    while True:
+        rows = map_batches(documents.select(F.col("doc_id").cast("bigint"), "text"), lambda b, s=shared: _signatures(b, orders.value, k, percent, s, bits),
+                           "doc_id bigint, n bigint, cls bigint, check bigint, prefix array<bigint>, longer binary, others binary", 2000)
+        rows = materialize(rows, "shingle-classes")
+        # Expected: one for each 2^65 pairs of classes.
+        more = rows.filter("n > 0").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").select("cls").collect()
+        if not more:
+            return rows, shared
+        discard(rows)
+        more = np.array([r.cls for r in more], np.int64).view(U)
+        if np.isin(more, shared).any():
+            raise RuntimeError("two shingle sets share 128 bits")
+        shared = np.concatenate([shared, more])
+
+
+def classes(documents: DataFrame, k: int, percent: int, bits: int = 64) -> Classes:
+    """Classes of equal texts and the components of their links. ``bits``: of a class's first name."""
     spark = documents.sparkSession
-    orders = token_orders(documents, k)
-    shared = spark.sparkContext.broadcast(orders)
-    rows = materialize(map_batches(documents.select("doc_id", "text"), lambda b: _signatures(b, shared.value, k, percent), "doc_id bigint, n bigint, cls bigint, check bigint, prefix array<bigint>, longer binary", 2000), "shingle-classes")
-    collided = rows.filter("n > 0").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").limit(1).count()
-    if collided:
-        raise RuntimeError("two shingle sets have one 64-bit class; change the salts")
-    prefix = rows.filter(F.size("prefix") > 0).select("cls", F.explode("prefix").alias("token"))
-    shared_by = prefix.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader <> last").drop("last")
+    orders = spark.sparkContext.broadcast(token_orders(documents, k))
+    rows, named = _named(documents, orders, k, percent, bits)
+    prefix = rows.filter(F.size("prefix") > 0).select("cls", "n", F.explode("prefix").alias("token"))
+    shared_by = prefix.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("last"), F.min("n").cast("int").alias("n_min")).filter("leader <> last").select("token", "n_min")
+    # Tables that a hot token's rows meet are written first, so that adaptive execution can split the join.
     shared_by = materialize(shared_by, "shingle-shared")
     several = spark.sparkContext.broadcast(_bloom_of(shared_by.select("token")))
-    groups = map_batches(rows.select("cls", "n", "prefix"), lambda b: _explode(b, several.value), "cls bigint, n int, token bigint, pos int", 2000).join(shared_by.select("token"), "token").distinct()
+    groups = map_batches(rows.select("cls", "n", "prefix"), lambda b: _explode(b, several.value), "cls bigint, n int, token bigint, pos int", 2000).distinct().join(shared_by, "token")
     groups = materialize(groups, "shingle-groups")
-    tokens = rows.filter("longer is not null").select("cls", "n", "longer").dropDuplicates(["cls"])
-    done, links, comps, sets, leaders = None, None, None, None, 1
+    discard(shared_by)
+    tokens = rows.filter("longer is not null").select("cls", "n", "longer", "others").dropDuplicates(["cls"])
+    done, comps, sets, leaders = None, None, None, 1
+    spent: list[DataFrame] = []
     while True:
         # Groups that hold more than one component, and their missing pairs.
         rooted = groups.withColumn("root", F.col("cls")) if comps is None else groups.join(comps, F.col("cls") == F.col("id"), "left").select(*groups.columns, F.coalesce("root", "cls").alias("root"))
         # A member whose token comes too late for even the smallest partner has none here.
         least = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("n_min"))
-        bound = rooted.join(groups.groupBy("token").agg(F.min("n").alias("n_min")), "token").filter(_room("n", "pos", least, percent)).drop("n_min")
+        bound = rooted.filter(_room("n", "pos", least, percent)).drop("n_min")
         open_ = bound.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token", "members")
+        open_ = materialize(open_, "tokens-open")
         left = materialize(bound.join(open_, "token"), "groups-open")
+        spent += [left, open_]
         small = left.filter(F.col("members") <= (SMALL if leaders > 1 else 0))
         large = left.filter(F.col("members") > (SMALL if leaders > 1 else 0))
         other = small.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "pos", "root")])
@@ -299,14 +311,18 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
             # Those with the fewest rarer tokens lead: they are nearest to what a group has in common.
             rank = F.struct("pos", "cls", "n", "root")
             lead = F.array(F.min(rank)) if leaders == 1 else F.slice(F.array_sort(F.collect_list(F.when(_may_lead(leaders), rank))), 1, leaders)
-            chosen = large.groupBy("token").agg(lead.alias("lead")).select(F.col("token").alias("t"), F.explode("lead").alias("x")).select("t", *[F.col("x." + c).alias(c + "2") for c in ("cls", "n", "pos", "root")])
-            led = large.join(chosen, (F.col("token") == F.col("t")) & (F.col("root") != F.col("root2")) & _meet("n", "pos", "n2", "pos2", percent))
-            more = more.union(led.select(*_pair("cls", "cls2")))
+            chosen = materialize(large.groupBy("token").agg(lead.alias("lead"), F.first("members").alias("all")), "leaders")
+            spent.append(chosen)
+            # A hot group's members are dealt to several tasks; of a member's leaders only those that it may link with become rows.
+            fits = lambda x: (F.col("root") != x["root"]) & _meet("n", "pos", x["n"], x["pos"], percent)
+            led = salted_join(large, chosen, "token", "all", ["cls"]).select("cls", F.explode(F.filter("lead", fits)).alias("x"))
+            more = more.union(led.select("cls", F.col("x.cls").alias("cls2")).select(*_pair("cls", "cls2")))
         more = more.distinct()
         pairs = materialize(more if done is None else more.join(done, ["u", "v"], "left_anti"), "pairs")
         if pairs.limit(1).count():
-            side = lambda c, n, p: tokens.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("longer").alias(p))
-            near = materialize(map_batches(pairs.join(side("u", "n", "p"), "u").join(side("v", "m", "q"), "v").select("u", "v", "n", "m", "p", "q"), _share, "u bigint, v bigint", 2000), "pairs-near")
+            side = lambda c, n, p, x: tokens.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("longer").alias(p), F.col("others").alias(x))
+            near = map_batches(pairs.join(side("u", "n", "p", "x"), "u").join(side("v", "m", "q", "y"), "v").select("u", "v", "n", "m", "p", "q", "x", "y"), lambda b: _share(b, percent), "u bigint, v bigint", 2000)
+            near = materialize(near, "pairs-near")
             done = pairs if done is None else done.union(pairs)
             ids = near.select(F.col("u").alias("cls")).union(near.select("v")).distinct()
             if sets is not None:
@@ -314,29 +330,45 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
             ids = materialize(ids, "shingle-ids")
             if ids.limit(1).count():
                 seen = spark.sparkContext.broadcast(_bloom_of(ids))
-                found = map_batches(documents.select("text"), lambda b, seen=seen: _sets(b, seen.value, k), "cls bigint, items binary", 2000)
+                found = map_batches(documents.select("text"), lambda b, seen=seen: _sets(b, seen.value, k, named, bits), "cls bigint, items binary", 2000)
                 found = found.join(ids, "cls", "left_semi").dropDuplicates(["cls"])
                 found = materialize(found, "shingle-sets")
                 sets = found if sets is None else sets.union(found)
             if sets is not None:
                 items = lambda c, x, sets=sets: sets.select(F.col("cls").alias(c), F.col("items").alias(x))
-                checked = map_batches(near.join(items("u", "a"), "u").join(items("v", "b"), "v").select("u", "v", "a", "b"), lambda b: _verify(b, shared.value, percent), "u bigint, v bigint, linked boolean", 500)
+                checked = map_batches(near.join(items("u", "a"), "u").join(items("v", "b"), "v").select("u", "v", "a", "b"), lambda b: _verify(b, percent), "u bigint, v bigint, linked boolean", 500)
                 new = materialize(checked.filter("linked").select("u", "v"), "links")
+                spent.append(new)
                 if new.limit(1).count():
-                    links = new if links is None else links.union(new)
-                    comps = materialize(components(links), "components")
+                    comps = _merged(comps, new)
+            spent += [near, ids]
         elif leaders > 1 and not (some and _unfinished(large, leaders)):
             break
         leaders *= 32
-    return rows, comps if comps is not None else spark.createDataFrame([], "id bigint, root bigint")
+    discard(groups, *spent)
+    return Classes(rows, comps if comps is not None else spark.createDataFrame([], "id bigint, root bigint"), named, bits)
+
+
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: these are taken between the roots so far, so that older ones are not walked again."""
+    if comps is None:
+        return materialize(components(links), "components")
+    root = lambda df, c: df.join(comps.select(F.col("id").alias("_id"), F.col("root").alias("_root")), F.col(c) == F.col("_id"), "left").withColumn(c, F.coalesce("_root", c)).drop("_id", "_root")
+    new = materialize(components(root(root(links, "u"), "v")), "roots")
+    ids = comps.select("id").union(links.select("u")).union(links.select("v")).distinct()
+    now = root(ids.withColumn("root", F.col("id")), "root").join(new.select(F.col("id").alias("_new"), F.col("root").alias("_to")), F.col("root") == F.col("_new"), "left")
+    out = materialize(now.select("id", F.coalesce("_to", "root").alias("root")), "components")
+    discard(comps, new)
+    return out
 
 
-def _room(n: str, pos: str, m, percent: int):
+def _room(n, pos, m, percent: int):
     """Whether enough tokens are left from a place on, if this is the first shared one."""
-    return (F.col(n) - F.col(pos)) * (100 + percent) >= (F.col(n) + (F.col(m) if isinstance(m, str) else m)) * percent
+    n, pos, m = (F.col(c) if isinstance(c, str) else c for c in (n, pos, m))
+    return (n - pos) * (100 + percent) >= (n + m) * percent
 
 
-def _meet(n: str, pos: str, m: str, at: str, percent: int):
+def _meet(n, pos, m, at, percent: int):
     """Whether sets of these sizes can link if this token is the first that they share."""
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _room(n, pos, m, percent) & _room(m, at, n, percent)
 
@@ -353,38 +385,53 @@ def _unfinished(large: DataFrame, leaders: int) -> bool:
     return bool(large.filter(F.col("members") > leaders).limit(1).count())
 
 
-def cluster(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def _apart(cls: str, n: str, doc_id: str = "doc_id"):
+    """A class's name; texts without tokens, which all have one, get a hash of their own, whose match says nothing."""
+    return F.when(F.col(n) > 0, F.col(cls)).otherwise(F.xxhash64(doc_id))
+
+
+def cluster(documents: DataFrame, k: int = 4, percent: int = 85, bits: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows, comps = classes(documents, k, percent)
-    rooted = rows.select("doc_id", "n", "cls").join(comps, F.col("cls") == F.col("id"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
-    least = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = classes(documents, k, percent, bits)
+    least = materialize(_of_roots(found.rooted(), F.min("least")).select("cls", "first", "docs"), "class-first")
+    rows = salted_join(found.rows.select("doc_id", "n", _apart("cls", "n").alias("cls")), least, "cls", "docs", ["doc_id"])
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
 
+def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, limit: int = BROADCAST_BYTES, bits: int = 64) -> DataFrame:
+    """``documents`` with one document, of the smallest doc_id (null first), of each component.
 
-def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` with one document, of the smallest doc_id, of each component."""
-    rows, comps = classes(documents, k, percent)
-    rooted = rows.filter("n > 0").select("doc_id", "cls").join(comps, F.col("cls") == F.col("id"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("doc_id", "cls").alias("doc"))
-    least = rooted.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("docs")).filter("docs > 1").drop("docs")
-    several = materialize(rooted.join(least, "root").groupBy("doc").agg(F.first(F.col("doc") == F.col("least")).alias("stays"), F.count("*").alias("rows")).select(F.col("doc.doc_id").alias("_d"), F.col("doc.cls").alias("_c"), "stays", "rows"), "near-copies")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    What stays of a class is a list of one row for each class of several documents. Below ``limit``
+    bytes it is broadcast; beyond it documents are dealt by their class, a hot one by doc_id too."""
+    found = classes(documents, k, percent, bits)
+    # Of a component the class stays that has its first doc_id, and of classes with one such the smaller.
+    first = F.min(F.struct((~F.col("none")).alias("known"), F.when(~F.col("none"), F.col("least")).alias("least"), "cls"))
+    best = F.col("first.cls") == F.col("cls")
+    stays = materialize(_of_roots(found.rooted(), first).select("cls", best.alias("best"), F.when(best, F.col("first.least")).alias("keeps"), "docs"), "class-first")
+    c, n, d, best, keeps, docs = free_names(documents.columns, "_cls", "_n", "_d", "_best", "_keeps", "_docs")
+    kinds, shared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), found.shared
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, cls = [], []
+        size, cls = [], []
         for w in bytewise.scan(batch.column("text")):
             g, ptr = shingles(w, k)
-            cls.append(_classes(g, ptr)[0])
-            n.append(np.diff(ptr))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(cls)), pa.array(np.concatenate(n), pa.int64())], names=[*batch.schema.names, "_cls", "_n"])
-
-    keyed = map_batches(documents, add, f"{kinds}, _cls bigint, _n bigint", 2000)
-    same = (F.col("_cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    left = keyed.join(broadcast_if_small(several.filter("not stays"), 64), same, "left_anti")
-    twice = several.filter("stays and rows > 1")
-    if twice.limit(1).count():
-        # Repeated rows of one doc_id and text: one of them stays.
-        twice = broadcast_if_small(twice, 64)
-        left = left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["_cls", "doc_id"]))
+            cls.append(_classes(g, ptr, shared, bits)[0])
+            size.append(np.diff(ptr))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(cls)), pa.array(np.concatenate(size), pa.int64())], names=[*batch.schema.names, c, n])
+
+    keyed = map_batches(documents, add, f"{kinds}, `{c}` bigint, `{n}` bigint", 2000).withColumn(c, _apart(c, n))
+    named = stays.select(F.col("cls").alias(d), F.col("best").alias(best), F.col("keeps").alias(keeps), F.col("docs").alias(docs))
+    small = broadcast_if_small(named, 32, limit)
+    joined = salted_join(keyed, named.withColumnRenamed(d, c), c, docs, ["doc_id"]) if small is named else keyed.join(small, keyed[c] == small[d], "left")
+    left = joined.filter(F.col(best).isNull() | (F.col(n) == 0) | (F.col(best) & F.col("doc_id").eqNullSafe(F.col(keeps))))
+    # Repeated rows of one doc_id and text: one of them stays.
+    again = found.rows.filter("n > 0").groupBy(F.col("doc_id").alias(d), F.col("cls").alias(docs)).agg(F.count("*").alias(best)).filter(f"{best} > 1").drop(best)
+    again = materialize(again, "repeated-rows")
+    if again.limit(1).count():
+        again = broadcast_if_small(again, 32, limit)
+        same = (F.col(c) == again[docs]) & F.col("doc_id").eqNullSafe(again[d]) & (F.col(n) > 0)
+        left = left.select(*documents.columns, c, n)
+        left = left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([c, "doc_id"]))
     return left.select(documents.columns)
 
 

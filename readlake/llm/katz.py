@@ -19,7 +19,8 @@ a block's distinct n-grams and their training counts go to the bucket, which sum
 blocks, keeps them (the model's tables, one part for each bucket), and answers every
 block. So an n-gram costs a bucket one entry for each block that holds it, however often
 it stands there, and no key can overload a task; the number of buckets grows with the
-corpus. Of the blocks that hold a pair, the first adds it to its history's sums, which
+corpus. What a block and a bucket exchange is one row while there are keys for it, so rows never
+outnumber the distinct n-grams of blocks. Of the blocks that hold a pair, the first adds it to its history's sums, which
 go to the buckets again and come back as backoff weights. Everything that is learnt is
 shuffled by n-gram, nothing is broadcast but a few totals.
 
