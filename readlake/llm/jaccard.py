@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from readlake.llm import bytewise
-from readlake.llm.common import BROADCAST_BYTES, broadcast_if_small, discard, free_names, map_batches, materialize, reduce_arrays, release, salted_join
+from readlake.llm.common import broadcast_if_small, discard, free_names, map_batches, materialize, reduce_arrays, release, salted_join
 from readlake.llm.components import components
 
 #: Cells of the sketch of token counts, which orders tokens; a byte each when it is broadcast.
@@ -398,11 +398,11 @@ def cluster(documents: DataFrame, k: int = 4, percent: int = 85, bits: int = 64)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, limit: int = BROADCAST_BYTES, bits: int = 64) -> DataFrame:
+def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, limit: int = 0, bits: int = 64) -> DataFrame:
     """``documents`` with one document, of the smallest doc_id (null first), of each component.
 
-    What stays of a class is a list of one row for each class of several documents. Below ``limit``
-    bytes it is broadcast; beyond it documents are dealt by their class, a hot one by doc_id too."""
+    What stays of a class is a list of one row for each class of several documents. Documents are dealt
+    by their class, a hot one by doc_id too; a list below ``limit`` bytes is broadcast instead."""
     found = classes(documents, k, percent, bits)
     # Of a component the class stays that has its first doc_id, and of classes with one such the smaller.
     first = F.min(F.struct((~F.col("none")).alias("known"), F.when(~F.col("none"), F.col("least")).alias("least"), "cls"))
