@@ -123,8 +123,8 @@ def udf_01_window_scorer(spark, sf_dir):
     """Windows of nine channels by the network, with weights from a seed."""
     from readlake.operators import networks, pileup
 
-    sites = pileup.ratios(pileup.site_channels(view(spark, sf_dir, "reads"), [(-F.col("mapq")).alias("mapq"), "qname", "ref_start", "ref_end", "tlen", "cigar"], 20))
-    return models.score_channels(pileup.channel_windows(sites), networks.WindowNet.initial(filters=16, dense=32, reduction=4), [1.0] * 9)
+    order = [(-F.col("mapq")).alias("mapq"), "qname", "ref_start", "ref_end", "tlen", "cigar"]
+    return pileup.score_sites(view(spark, sf_dir, "reads"), order, 20, networks.WindowNet.initial(filters=16, dense=32, reduction=4), [1.0] * 9)
 
 
 @query()

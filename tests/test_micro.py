@@ -182,3 +182,15 @@ def test_site_channels_by_block(spark):
         df = pileup.site_channels(reads, order, cap, block)
         assert {(r.contig, r.pos): tuple(r)[2:] for r in df.collect()} == want
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_score_sites(spark):
+    """Scores from counts in place are those of collected windows."""
+    from readlake.operators import models, networks
+
+    rows = [("a" if i % 3 else None, i, 700 * (i % 19), 700 * (i % 19) + 9, "3S4M1D4M", "4^A2C1") for i in range(90)]
+    reads = spark.createDataFrame(rows, "contig string, id int, ref_start bigint, ref_end bigint, cigar string, md string")
+    net, mean = networks.WindowNet.initial(filters=4, dense=8, reduction=2), [1.0, 2.0, 0.5] * 3
+    got = {tuple(r)[:2]: r.score for r in pileup.score_sites(reads, ["id"], 3, net, mean).collect()}
+    want = {tuple(r)[:2]: r.score for r in models.score_channels(pileup.channel_windows(pileup.ratios(pileup.site_channels(reads, ["id"], 3))), net, mean).collect()}
+    assert len(got) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
