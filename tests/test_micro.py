@@ -194,3 +194,35 @@ def test_score_sites(spark):
     got = {tuple(r)[:2]: r.score for r in pileup.score_sites(reads, ["id"], 3, net, mean).collect()}
     want = {tuple(r)[:2]: r.score for r in models.score_channels(pileup.channel_windows(pileup.ratios(pileup.site_channels(reads, ["id"], 3))), net, mean).collect()}
     assert len(got) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_clusters_of_a_dense_contig(spark):
+    """Against the rounds one by one, on a contig without gaps whose clusters are longer than a stretch, and on sparse ones."""
+    import random
+
+    rng = random.Random(5)
+    rows = [("a", p, rng.choice([1, -1]) * rng.randrange(0, 90) * 10, rng.choice([-1, -1, rng.randrange(300)])) for p in range(0, 60_000, 60)]
+    rows += [("a", p, 5000 + p % 7, -1) for p in range(0, 60_000, 150)]
+    rows += [("b", rng.randrange(400_000), rng.choice([1, -1]) * rng.randrange(100, 900), rng.choice([-1, rng.randrange(40)])) for _ in range(600)] + [(None, 5, 9, 1), (None, 6, 9, 2)]
+    want = []
+    for contig in ("a", "b", None):
+        queue, found = sorted(r[1:] for r in rows if r[0] == contig), []
+        while queue:
+            members, left = [queue[0]], []
+            for i, x in enumerate(queue[1:], 1):
+                last = members[-1]
+                if x[0] - last[0] > 200:
+                    left += queue[i:]
+                    break
+                (members if (x[1] > 0) == (last[1] > 0) and min(abs(x[1]), abs(last[1])) > 0.7 * max(abs(x[1]), abs(last[1])) else left).append(x)
+            found.append(members)
+            queue = left
+        taken = set()
+        at = lambda m: (m[len(m) // 2][0], sorted(x[1] for x in m)[len(m) // 2])
+        for m in sorted(found, key=lambda m: (-len(m), m[0][0], *at(m))):
+            own = {x[2] for x in m} - {-1}
+            want.append((str(contig), *at(m), len(m) - len(own & taken)))
+            taken |= own
+    got = seq.cluster_signals(spark.createDataFrame(rows, "contig string, pos int, size bigint, split bigint")).collect()
+    assert sorted((str(r.contig), r.pos, r["size"], r.support) for r in got) == sorted(want)
+    assert max(w[3] for w in want) == 400
