@@ -42,6 +42,32 @@ def test_assembly(spark):
     assert tuple(kept) == (1, True, 1000, 1100)
 
 
+def test_evidence_without_pairs_is_that_of_the_joins(spark):
+    rng = np.random.default_rng(1)
+    pick = lambda *x: x[rng.integers(len(x))]
+
+    def read():
+        start, a, b = int(rng.integers(0, 40000)), int(rng.integers(5, 60)), int(rng.integers(1, 60))
+        cigar, md, n = pick((f"{a}M{b}D{a}M", f"{a}^{'A' * b}{a}", 2 * a + b), (f"{b}S{a}M", f"{a}", a), (f"{a}M{b}S", f"{a}", a), (f"{a}M{b}I{a}M", f"{2 * a}", 2 * a),
+                            (f"{a}M{b}I3P9I{a}M{b}D4M{b}H", f"{2 * a}^{'C' * b}4", 2 * a + b + 4), ("2000M", "2000", 2000), (None, "9^AAA9", 20), ("3S400M12D400M20S", None, 812))
+        end = pick(*[start + n] * 30, None, start - 20)
+        return {"contig": pick("c", "d"), "qname": pick(None, *rng.integers(0, 500, 40).tolist()), "flag": pick(1, 3, 3, 3, 35, 5, 1025, 9, 0, None), "ref_start": pick(*[start] * 50, None), "ref_end": end, "mapq": int(rng.integers(5, 20)),
+                "tlen": pick(0, 100, 300, -300, 5000, 900, 320, 310, 330), "mate_start": start + int(rng.integers(-50, 500)), "cigar": cigar, "md": md, "nm": pick(None, *range(30)), "query_len": 100}
+
+    def call(i):
+        start = int(rng.integers(0, 42000))
+        return (i, pick("c", "d", "e"), start, start + pick(0, 1, 2, 50, 200, 200, 900, 5000, 9000, -30, -3000), pick("DEL", "INS", "DUP"))
+
+    whole = [{"contig": "f", "qname": i, "ref_end": 2000, "cigar": "2000M", "nm": n} for i, n in enumerate((0, 190, 191, 300, None, 0))]
+    reads = _reads(spark, [*(read() for _ in range(1500)), *whole]).cache()
+    at = _calls(spark, [*map(call, range(120)), (120, None, 5, 50, "DEL"), (121, "c", None, 50, "INS"), (122, "f", 900, 1000, "DEL"), (123, "f", 0, 1000, "DEL")]).cache()
+    told = lambda df: {r.call_id: (round(r.support, 6), r.reads, round(r.abnormal, 6), r.total, r.status, r.new_start, r.new_len) for r in df.collect()}
+    want = told(at.join(evidence.raw_support(at, reads), "call_id").join(evidence.pair_support(at, reads), "call_id").join(evidence.assembly(at, reads), "call_id"))
+    assert told(evidence.together(at, reads)) == want and len(want) == 124 and len({x[4] for x in want.values()}) == 3
+    # Short calls make no pairs with reads.
+    assert "_bin" not in evidence.validate(at.filter("end_pos - start_pos between 0 and 5000"), reads)._jdf.queryExecution().toString()
+
+
 def test_staged(spark):
     rows = [([1] * 5, [1] * 6, [1] * 7), ([1], [1] * 4, [1] * 7), ([], [1], [1] * 7)]
     df = spark.createDataFrame(rows, "a array<int>, b array<int>, c array<int>")
