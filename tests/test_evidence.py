@@ -87,6 +87,19 @@ def test_split_lengths(spark):
     assert [tuple(r) for r in got] == [(1, 400)]
 
 
+def test_alignments_in_one_text():
+    rng = np.random.default_rng(3)
+    for letters in ("ab", "acg", "acgt"):
+        text = "".join(rng.choice(list(letters), 3000))
+        first = rng.integers(0, 2900, 150)
+        past = first + rng.integers(1, 90, 150)
+        # Words of chance, and of the text with a gap on either side.
+        clips = [["".join(rng.choice(list(letters), rng.integers(0, 20))), t[3:15] + t[19:33], t[3:15] + "zz" + t[15:28]][i % 3] for i, t in enumerate(text[a:z] for a, z in zip(first, past, strict=True))]
+        got = seq.alignments_in(np.array([ord(x) for x in text]), first, past, clips)
+        want = seq.local_alignments(clips, [text[a:z] for a, z in zip(first, past, strict=True)])
+        assert (got == np.where(want[:, :1] > 0, want, 0)).all()
+
+
 def test_pair_length(spark):
     reads = _reads(spark, [{"qname": i, "tlen": 300 + i % 3} for i in range(30)] + [{"qname": 50 + i, "tlen": t, "flag": 1} for i, t in enumerate((1300, 1400, 1500))])
     got = evidence.pair_length(_calls(spark, [(1, "c", 50, 900, "DEL"), (2, "c", 50, 900, "INS"), (3, "c", 5000, 5100, "DEL")]), reads).collect()
