@@ -20,9 +20,13 @@ blocks, keeps them (the model's tables, one part for each bucket), and answers e
 block. So an n-gram costs a bucket one entry for each block that holds it, however often
 it stands there, and no key can overload a task; the number of buckets grows with the
 corpus. What a block and a bucket exchange is one row while there are keys for it, so rows never
-outnumber the distinct n-grams of blocks. Of the blocks that hold a pair, the first adds it to its history's sums, which
-go to the buckets again and come back as backoff weights. Everything that is learnt is
-shuffled by n-gram, nothing is broadcast but a few totals.
+outnumber the distinct n-grams of blocks. Of the blocks that hold a pair, the first adds it to its history's tallies, which
+go to the buckets again and come back as backoff weights. Tallies are whole numbers, from
+which the bucket gets the sums of discounted counts; they pack to a fraction of the sums' bytes.
+Everything that is learnt is shuffled by n-gram, nothing is broadcast but a few totals.
+
+On disk, shuffle files go with the stage that read them, and blocks when all are scored; the
+tables of words, pairs and weights, which are the model, stay.
 
 Defined results: null text is empty (one token, the end). Rows with repeated or null doc_id
 are scored each; without training texts c and N are 0 and both scores use uniform P.
@@ -40,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from readlake.llm import bytewise
-from readlake.llm.common import map_batches, materialize
+from readlake.llm.common import discard, map_batches, materialize
 
 #: Tokens of a block, about.
 BLOCK = 1_000_000
@@ -210,6 +214,17 @@ class Discounts:
         small = np.array(self.d)[np.minimum(count, GT)] * count
         return np.where(count <= GT, small, count - ABOVE)
 
+    def sums(self, tally: np.ndarray) -> np.ndarray:
+        """Discounted counts added up, from columns of ``_tally``."""
+        return (np.array(self.d)[1:] * np.arange(1, GT + 1)) @ tally[:GT] + tally[GT + 1] - ABOVE * tally[GT]
+
+
+def _tally(count: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A column for each of ``size`` places: how many counts there are 1, 2, ... GT, how many are larger, and what those add up to."""
+    far = count > GT
+    kind = np.bincount(np.minimum(count - 1, GT) * size + at, minlength=(GT + 1) * size).reshape(GT + 1, size)
+    return np.vstack([kind, np.bincount(at[far], count[far], size).astype(np.int64)])
+
 
 def _totals(table: DataFrame) -> tuple[int, Discounts]:
     r = table.filter("block < 0").agg(F.sum("types"), *[F.sum(f"n{i}") for i in range(1, GT + 2)]).first()
@@ -226,7 +241,7 @@ def _told(answers: list[dict] | None, what: str = "answer") -> np.ndarray:
 
 
 def _score(batch: pa.RecordBatch, buckets: int, n: int, types: int, docs: int, uni: Discounts, bi: Discounts, unseen: float) -> Iterator[pa.RecordBatch]:
-    """Scores without backoff weights, what they wait for, and the block's part of histories' sums."""
+    """Scores without backoff weights, what they wait for, and the block's part of histories' tallies."""
     for row in batch.to_pylist():
         h, idx, ptr = _open(row)
         c = np.empty(len(h), np.int64)
@@ -253,10 +268,11 @@ def _score(batch: pa.RecordBatch, buckets: int, n: int, types: int, docs: int, u
         tokens = np.flatnonzero(wait[inverse])
         waiting = np.unique(doc[tokens] * (len(need) + 1) + place[first[inverse[tokens]]], return_counts=True)
         own &= r > 0
-        sums = [np.bincount(first[own], x, len(hist)) for x in (mass[own], p1[second[own]])]
+        # A word that follows in training has a count, so its share of P(w) comes from a tally too. (One without a
+        # count stands here only where its pair shares bucket and 48 bits with a seen one; it counts as seen once.)
+        pair, word = (_tally(x[own], first[own], len(hist)) for x in (r, np.maximum(c, 1)[second]))
         some = np.flatnonzero(np.bincount(first[own], minlength=len(hist)))
         bucket = _buckets(hist, buckets)
-        total = np.append(c, docs)
         docs_row = {
             "block": row["block"], "bucket": -1, "ids": row["ids"], "held": row["held"], "n_tokens": size.tolist(), "n_known": count(c[idx] > 0).astype(np.int64).tolist(),
             "base": count(base[idx]).tolist(), "score": count(logp[inverse]).tolist(),
@@ -265,25 +281,24 @@ def _score(batch: pa.RecordBatch, buckets: int, n: int, types: int, docs: int, u
         some = some[np.lexsort((hist[some], bucket[some]))]
         for b in np.unique(np.concatenate([bucket[some], bucket[need]])).tolist():
             s, q = some[bucket[some] == b], need[bucket[need] == b]
-            out.append({"block": row["block"], "bucket": b, "a": pack(hist[s], 8, True), "b": _floats(sums[0][s]), "c": _floats(sums[1][s]), "d": pack(total[s], 5), "need": pack(hist[q], 8, True)})
+            out.append({"block": row["block"], "bucket": b, "a": pack(hist[s], 8, True), "b": pack(pair[:, s].ravel(), 6), "c": pack(word[:, s].ravel(), 6), "need": pack(hist[q], 8, True)})
         yield pa.RecordBatch.from_pylist(out, _PARTIAL_ARROW)
 
 
 _PARTIAL = ("block bigint, bucket bigint, ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, score array<double>, "
-            "a binary, b binary, c binary, d binary, need binary, n_need bigint")
+            "a binary, b binary, c binary, need binary, n_need bigint")
 _ARROW = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
 _PARTIAL_ARROW = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in _PARTIAL.split(", ")])
 
 
-def _weigh(table: pa.Table) -> pa.Table:
+def _weigh(table: pa.Table, n: int, uni: Discounts, bi: Discounts) -> pa.Table:
     """One bucket of histories: their backoff weights, and the answers to blocks."""
-    rows = sorted(table.select(["bucket", "block", "a", "b", "c", "d", "need"]).to_pylist(), key=lambda r: r["block"])
-    cat = lambda c: np.concatenate([unpack(r[c]) for r in rows])
-    keys, inverse = np.unique(cat("a"), return_inverse=True)
-    mass, lower = (np.bincount(inverse, cat(c).view(float), len(keys)) for c in "bc")
-    total = np.zeros(len(keys))
-    total[inverse] = cat("d").astype(float)
-    alpha = np.maximum(1 - mass / np.maximum(total, 1), 1e-300) / np.maximum(1 - lower, 1e-12)
+    rows = sorted(table.select(["bucket", "block", "a", "b", "c", "need"]).to_pylist(), key=lambda r: r["block"])
+    keys, inverse = np.unique(np.concatenate([unpack(r["a"]) for r in rows]), return_inverse=True)
+    pair, word = (np.stack([np.bincount(inverse, x, len(keys)) for x in np.hstack([unpack(r[c]).reshape(GT + 2, -1) for r in rows])]) for c in "bc")
+    # A history's pairs add up to its count.
+    total = np.arange(1, GT + 1) @ pair[:GT] + pair[GT + 1]
+    alpha = np.maximum(1 - bi.sums(pair) / np.maximum(total, 1), 1e-300) / np.maximum(1 - uni.sums(word) / max(n, 1), 1e-12)
     out = [{"bucket": rows[0]["bucket"], "block": r["block"], "answer": _floats(np.log10(alpha[np.searchsorted(keys, unpack(r["need"]))]))} for r in rows]
     out.append({"bucket": rows[0]["bucket"], "block": -1, "answer": _floats(alpha), "keys": pack(keys, 8, True)})
     return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("answer", pa.binary()), ("keys", pa.binary())]))
@@ -303,22 +318,23 @@ def _finish(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
 
 def score(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = materialize(_blocks(documents), "lm-blocks")
+    blocks = materialize(_blocks(documents), "lm-blocks", tidy=True)
     tokens, n, docs = (int(x or 0) for x in blocks.agg(F.sum("tokens"), F.sum("train"), F.sum("train_docs")).first())
     buckets = max(1, -(-tokens // BUCKET))
     spread = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
-    words = materialize(spread(map_batches(blocks.select("block", "words", "tf"), lambda b: _ask_words(b, buckets), _ASKED)).applyInArrow(_count, _ANSWER), "lm-words")
+    words = materialize(spread(map_batches(blocks.select("block", "words", "tf"), lambda b: _ask_words(b, buckets), _ASKED)).applyInArrow(_count, _ANSWER), "lm-words", tidy=True)
     types, uni = _totals(words)
-    pairs = materialize(spread(map_batches(blocks, lambda b: _ask_pairs(b, buckets), _ASKED)).applyInArrow(_count, _ANSWER), "lm-pairs")
+    pairs = materialize(spread(map_batches(blocks, lambda b: _ask_pairs(b, buckets), _ASKED)).applyInArrow(_count, _ANSWER), "lm-pairs", tidy=True)
     _, bi = _totals(pairs)
     # What Good-Turing leaves for unseen words, from the counts of counts.
     mass = words.filter("block < 0").select("answer").mapInArrow(
         lambda batches: (pa.RecordBatch.from_arrays([pa.array([float(uni.mass(unpack(x).astype(np.int64)).sum()) for x in b.column(0).to_pylist()], pa.float64())], names=["m"]) for b in batches), "m double")
     seen = mass.agg(F.sum(F.col("m").cast("decimal(38,9)")).cast("double")).first()[0] or 0.0
     unseen = max(1 - seen / n, 1 / (n + types + 1)) if n else 1 / (n + types + 1)
-    asked = blocks.join(_answers(words, "uni"), "block").join(_answers(pairs, "bi"), "block")
-    partial = materialize(map_batches(asked, lambda b: _score(b, buckets, n, types, docs, uni, bi, unseen), _PARTIAL), "lm-partial")
-    weights = materialize(spread(partial.filter("bucket >= 0").select("bucket", "block", "a", "b", "c", "d", "need")).applyInArrow(_weigh, "bucket bigint, block bigint, answer binary, keys binary"), "lm-weights")
+    asked = blocks.select("block", "ids", "held", "sizes", "words", "order", "index").join(_answers(words, "uni"), "block").join(_answers(pairs, "bi"), "block")
+    partial = materialize(map_batches(asked, lambda b: _score(b, buckets, n, types, docs, uni, bi, unseen), _PARTIAL), "lm-partial", tidy=True)
+    discard(blocks)
+    weights = materialize(spread(partial.filter("bucket >= 0").select("bucket", "block", "a", "b", "c", "need")).applyInArrow(lambda t: _weigh(t, n, uni, bi), "bucket bigint, block bigint, answer binary, keys binary"), "lm-weights", tidy=True)
     done = partial.filter("bucket < 0").select("block", "ids", "held", "n_tokens", "n_known", "base", "score", "a", "b", "n_need").join(_answers(weights, "alpha"), "block", "left")
     return map_batches(done, lambda b: _finish(b, n), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

@@ -1,7 +1,10 @@
 """The training-data operators against brute force, SQL, round trips and odd inputs."""
 
+import contextlib
 import hashlib
 import math
+import pathlib
+import time
 import zlib
 
 import duckdb
@@ -9,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readlake.llm import bytewise, chat_format, components, decontaminate, jaccard, katz, license_scan, line_dedup, mixing, quality_classifier, quality_rules, queries, token_output
+from readlake.llm import bytewise, chat_format, common, components, decontaminate, jaccard, katz, license_scan, line_dedup, mixing, quality_classifier, quality_rules, queries, token_output
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "labels", "benchmark", "conversations")
@@ -116,6 +119,46 @@ def test_katz_adds_up():
     assert math.isclose(katz.brute_force([*train, (held, "a d zzz a")])[-1][6], want, rel_tol=1e-9)
 
 
+def test_katz_blocks_and_buckets(spark, docs, monkeypatch):
+    """Tallies of many blocks, spread over many buckets, give the same scores."""
+    monkeypatch.setattr(katz, "BLOCK", 5000)
+    monkeypatch.setattr(katz, "BUCKET", 4000)
+    got = sorted(tuple(r) for r in katz.score(spark.read.parquet(f"{SF}/documents.parquet")).collect())
+    for a, b in zip(got, sorted(katz.brute_force(docs)), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-7) and math.isclose(a[6], b[6], rel_tol=1e-7)
+
+
+def test_katz_tallies():
+    rng = np.random.default_rng(4)
+    count, at = rng.integers(1, 3 * katz.GT, 500), rng.integers(0, 50, 500)
+    for n in ([900, 300, 120, 70, 40, 20], [0] * 6):
+        d = katz.Discounts(n)
+        assert np.allclose(d.sums(katz._tally(count, at, 50)), np.bincount(at, d.mass(count), 50), rtol=1e-12)
+
+
+def test_katz_disk(spark, tmp_path, monkeypatch):
+    """Blocks and the shuffle files of written tables are gone before scores are read; the model's tables stay."""
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled(but: set = frozenset()) -> dict:
+        found = {}
+        for f in (f for d in dirs for f in pathlib.Path(d).rglob("shuffle_*.data") if f not in but):
+            with contextlib.suppress(FileNotFoundError):  # deleted meanwhile
+                found[f] = f.stat().st_size
+        return found
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    before, own = set(shuffled()), spark.conf.get(common.CLEANUP, None)
+    scores = katz.score(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert spark.conf.get(common.CLEANUP, None) == own
+    assert {f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()} == {"lm-words", "lm-pairs", "lm-partial", "lm-weights"}
+    until = time.monotonic() + 20
+    while sum(shuffled(before).values()) > 50_000 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert sum(shuffled(before).values()) <= 50_000
+    assert scores.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def _direct(train):
     """The model's own conditional probabilities, recomputed from counts."""
     from collections import Counter
